@@ -161,16 +161,17 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, least:
     if targets is not None:
         wanted = F.create_map(*[x for s, v in targets.items() for x in (F.lit(s), F.lit(float(v)))]) if targets else F.create_map().cast("map<string,double>")
         shares = shares.select("source", F.coalesce(wanted[F.col("source")], F.lit(0.0)).alias("share"))
+    # Running sums have a row per part, or per part and source that it holds, never per document.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     of_part = supply.groupBy("part").agg(F.sum("own").alias("part_total"))
-    sequences = F.ceil(F.col("part_total") / F.lit(window)).cast("bigint")
-    # Running sums over parts: a row per part, and per part and source, never per document.
-    grid = of_part.crossJoin(shares) if parts <= 1 else of_part.join(shares, F.lit(True))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = of_part.select("part", F.coalesce(F.sum("part_total").over(earlier), F.lit(0)).alias("total_before"), F.coalesce(F.sum(F.ceil(F.col("part_total") / F.lit(window))).over(earlier), F.lit(0)).alias("first"))
+    own_before = F.coalesce(F.sum("own").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = shares.withColumnRenamed("source", "of")
     plan = (
-        grid.join(supply.withColumnRenamed("source", "s").withColumnRenamed("part", "p"), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("gap", F.col("share") * F.col("part_total") - F.coalesce("own", F.lit(0)))
-        .withColumn("carry", F.coalesce(F.sum("gap").over(before), F.lit(0.0)))
-        .withColumn("first", F.coalesce(F.sum(sequences).over(before), F.lit(0)))
+        supply.withColumn("own_before", own_before)
+        .join(of_part, "part")
+        .join(shares, F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("carry", F.col("share") * F.col("total_before") - F.col("own_before"))
         .select("part", "source", "share", "carry", "first")
     )
     rows = tokens.select("part", "source", "doc_id", "n_tokens", "wide", "ids", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("carry"), F.lit(None).cast("bigint").alias("first")).unionByName(
