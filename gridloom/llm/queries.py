@@ -47,3 +47,28 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprints as P
+
+    rows = P.with_sketch(P.with_edited(documents(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch")
+    own, edited = F.col("sketch"), F.col("edited_sketch")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        P.fingerprint(own).alias("fingerprint"),
+        P.fingerprint(edited).alias("edited_fingerprint"),
+        P.likeness(own, edited).alias("near_edited"),
+        P.likeness(own, F.col("next_sketch")).alias("near_next"),
+        P.containment(own, edited).alias("contained_in_edited"),
+    )
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace
+
+    return replace(documents(spark, sf_dir)).select("doc_id", "n_entities", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
