@@ -72,3 +72,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import replace
 
     return replace(documents(spark, sf_dir)).select("doc_id", "n_entities", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
