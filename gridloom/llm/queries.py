@@ -79,3 +79,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_items = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("spans").cast("long").alias("n_spans"))
