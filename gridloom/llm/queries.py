@@ -88,3 +88,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_items = F.size("items").cast("long")
     return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op10_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score, train_model
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", (C.fold_of() == 1).alias("held_out"))
+    return score(docs, train_model(docs.filter(~F.col("held_out"))))
