@@ -96,3 +96,19 @@ def op10_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text", (C.fold_of() == 1).alias("held_out"))
     return score(docs, train_model(docs.filter(~F.col("held_out"))))
+
+
+def toxicity_model(docs: DataFrame, sf_dir: str):
+    """Fitted on the labelled rows outside the held-out fold."""
+    from .toxicity import train
+
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return train(docs.filter(C.fold_of() != 0).select("doc_id", "text").join(labels, "doc_id"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    docs = documents(spark, sf_dir)
+    return score(docs.select("doc_id", (C.fold_of() == 0).alias("held_out"), "text"), toxicity_model(docs, sf_dir)).drop("text")
