@@ -112,3 +112,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return score(docs.select("doc_id", (C.fold_of() == 0).alias("held_out"), "text"), toxicity_model(docs, sf_dir)).drop("text")
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(documents(spark, sf_dir))
