@@ -26,10 +26,27 @@ from . import columns as C
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE = 700_000
+CACHE = 600_000
+#: Longer units are swept whole and not kept.
+KEPT_LENGTH = 64
 _loaded: dict = {}
 
 
+class _Counts(dict):
+    """Counts by unit, filled on demand and emptied when full."""
+
+    def __init__(self, count):
+        self.of = count
+
+    def __missing__(self, unit: str) -> int:
+        n = self.of(unit)
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) >= CACHE:
+                self.clear()
+            self[unit] = n
+        return n
+
+
 class PrefixCounter:
     """Counts of one vocabulary. `path` names a sentencepiece BPE model."""
 
@@ -37,7 +54,7 @@ class PrefixCounter:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.score, self.plain = {}, {}
+        self.score = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
@@ -47,7 +64,9 @@ class PrefixCounter:
         self.longest = max(map(len, self.score), default=1)
         self.normalize = model.normalize
         self.apart: dict = {}
-        self.units: dict = {}
+        self.whole = {p for p in self.score if self._merged(p) == [p]}
+        self.states: dict = {}
+        self.units = _Counts(self._unit_count)
 
     def _merged(self, text: str) -> list[str]:
         """The greedy merges of `text`: the best-scored adjacent pair first, the leftmost of equals."""
@@ -74,12 +93,12 @@ class PrefixCounter:
 
     def prefixes(self, unit: str) -> list[int]:
         """Exact token counts of unit[:1], unit[:2], ... by the sweep."""
-        last, counts, score = [""], [0], self.score
+        last, counts, whole = [""], [0], self.whole
         for i in range(1, len(unit) + 1):
             token, length = None, 1
             for n in range(min(i, self.longest), 0, -1):
                 t = unit[i - n : i]
-                if t in score and (n == i or not last[i - n] or self._stay(last[i - n], t)) and (n < 2 or self._whole(t)):
+                if t in whole and (n == i or not last[i - n] or self._stay(last[i - n], t)):
                     token, length = t, n
                     break
             if token is None:  # a character outside the vocabulary: its UTF-8 bytes
@@ -90,33 +109,44 @@ class PrefixCounter:
                 counts.append(counts[i - length] + 1)
         return counts[1:]
 
-    def _whole(self, token: str) -> bool:
-        """Whether the merges of the token's own characters give it back."""
-        found = self.plain.get(token)
+    def _state(self, prefix: str) -> tuple[int, str]:
+        """Token count and last token ('' for bytes) of one prefix; only the shorter ones it rests on are looked at."""
+        found = self.states.get(prefix)
         if found is None:
-            found = self.plain[token] = self._merged(token) == [token]
+            whole = self.whole
+            found = None
+            for n in range(min(len(prefix), self.longest), 0, -1):
+                t = prefix[-n:]
+                if t in whole:
+                    if n == len(prefix):
+                        found = 1, t
+                        break
+                    count, last = self._state(prefix[:-n])
+                    if not last or self._stay(last, t):
+                        found = count + 1, t
+                        break
+            if found is None:
+                count = self._state(prefix[:-1])[0] if len(prefix) > 1 else 0
+                found = count + len(prefix[-1].encode("utf-8", "surrogatepass")), ""
+            if len(self.states) >= CACHE // 2:
+                self.states.clear()
+            self.states[prefix] = found
         return found
 
+    def _unit_count(self, unit: str) -> int:
+        return self._state(unit)[0] if len(unit) <= KEPT_LENGTH else self.prefixes(unit)[-1]
+
     def units_of(self, text: str) -> list[str]:
+        """The normalized text cut where no merge crosses."""
         text = self.normalize(text) if text else ""
-        return [text] if self.crosses and text else _UNIT.findall(text)
-
-    def unit_count(self, unit: str) -> int:
-        found = self.units.get(unit)
-        if found is None:
-            if len(self.units) > CACHE:
-                self.units.clear()
-            found = self.prefixes(unit)[-1]
-            if len(unit) <= 64:
-                self.units[unit] = found
-        return found
+        if self.crosses:
+            return [text] if text else []
+        if text[:1] == SPACE and SPACE * 2 not in text and text[-1:] != SPACE:
+            return [SPACE + u for u in text[1:].split(SPACE)]
+        return _UNIT.findall(text)
 
     def count(self, text: str) -> int:
-        get, total = self.units.get, 0
-        for u in self.units_of(text):
-            n = get(u)
-            total += self.unit_count(u) if n is None else n
-        return total
+        return sum(map(self.units.__getitem__, self.units_of(text)))
 
     def at_every_prefix(self, text: str) -> tuple[str, np.ndarray]:
         """The normalized text and the token count of each of its prefixes, from length 0 on."""
@@ -161,8 +191,8 @@ def _cut(c: PrefixCounter, text: str, budget: int) -> int:
     """As `fit`, with prefix counts only in the unit where the budget ends."""
     total = length = 0
     for u in c.units_of(text):
-        n = c.unit_count(u)
-        if total + n > budget or len(u) > 64:
+        n = c.units[u]
+        if total + n > budget or len(u) > KEPT_LENGTH:
             own = np.maximum.accumulate(c.prefixes(u))
             k = bisect.bisect_right(own, budget - total)
             if k < len(u):
