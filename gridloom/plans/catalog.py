@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import placement, routing, store, telemetry
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "placement", "routing", "store", "telemetry"]
