@@ -127,6 +127,9 @@ class Migration:
         return "already_terminal" if self.phase in TERMINAL else self._to("failed")
 
 
+_FOLDED = ["migration_id", "phase", "copied", "pending_writes", "read_owner", "write_owner", "refused", "last_refusal"]
+
+
 def fold(scripts: DataFrame) -> DataFrame:
     """migration_id, phase, copied, pending_writes, read_owner, write_owner, refused, last_refusal.
 
@@ -134,14 +137,32 @@ def fold(scripts: DataFrame) -> DataFrame:
     complete_cutover, complete, abort, fail), n, atoms_total, source, destination. A refused operation changes nothing.
     """
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("seq")
-        m, refused, last = Migration(int(df["atoms_total"].iloc[0])), 0, None
-        for r in df.itertuples():
-            reason = m.apply(r.op, None if pd.isna(r.n) else int(r.n))
-            if reason:
-                refused, last = refused + 1, reason
-        owner = df["destination"].iloc[0] if m.cut_over else df["source"].iloc[0]
-        return pd.DataFrame([(int(df["migration_id"].iloc[0]), m.phase, m.copied, m.pending(), owner, None if m.phase == "cutover" else owner, refused, last)], columns=["migration_id", "phase", "copied", "pending_writes", "read_owner", "write_owner", "refused", "last_refusal"])
-
-    return scripts.groupBy("migration_id").applyInPandas(run, "migration_id bigint, phase string, copied bigint, pending_writes bigint, read_owner string, write_owner string, refused bigint, last_refusal string")
+    columns = ["migration_id", "seq", "op", "n", "atoms_total", "source", "destination"]
+
+    def run(batches):
+        # Rows come sorted, so one migration is held at a time, however many a task has.
+        out, now, m, owners = [], None, None, None
+        refused, last = 0, None
+
+        def row():
+            owner = owners[1] if m.cut_over else owners[0]
+            return (now, m.phase, m.copied, m.pending(), owner, None if m.phase == "cutover" else owner, refused, last)
+
+        for b in batches:
+            for key, _, op, n, total, source, destination in zip(*[b[c].tolist() for c in columns]):
+                if key != now:
+                    if m is not None:
+                        out.append(row())
+                    now, m, owners, refused, last = key, Migration(int(total)), (source, destination), 0, None
+                reason = m.apply(op, None if n is None or n != n else int(n))
+                if reason:
+                    refused, last = refused + 1, reason
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=_FOLDED)
+                out = []
+        if m is not None:
+            out.append(row())
+        yield pd.DataFrame(out, columns=_FOLDED)
+
+    rows = scripts.select(*columns).repartition("migration_id").sortWithinPartitions("migration_id", "seq")
+    return rows.mapInPandas(run, "migration_id bigint, phase string, copied bigint, pending_writes bigint, read_owner string, write_owner string, refused bigint, last_refusal string")
