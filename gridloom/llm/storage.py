@@ -14,6 +14,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one of this session only where that is unset, as in tests."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")
