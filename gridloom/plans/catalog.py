@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import placement, routing, store, telemetry
+from . import ledger, placement, routing, store, telemetry
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "placement", "routing", "store", "telemetry"]
+__all__ = ["ORACLES", "QUERIES", "ledger", "placement", "routing", "store", "telemetry"]

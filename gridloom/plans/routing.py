@@ -241,18 +241,23 @@ def write_targets(spark, sf_dir):
     return routing.write_targets(entries.drop("region"), replicas, moves)
 
 
-@query(_TOPOLOGY + """, base AS (SELECT shard_id, node_id, CASE WHEN role = 'primary' THEN 'primary' ELSE 'secondary' END AS served_by, CASE WHEN role = 'primary' THEN 0 ELSE 1 END AS a FROM sets WHERE state = 'in_sync'
-  UNION ALL SELECT shard_id, owner, 'shard_owner', 0 FROM entries WHERE shard_id NOT IN (SELECT shard_id FROM sets)),
-stays AS (SELECT b.shard_id, b.node_id, b.a, CASE WHEN m.has_cut_over AND b.node_id = m.destination THEN 'migration_destination' WHEN NOT m.has_cut_over AND b.node_id = m.source THEN 'migration_source' ELSE b.served_by END AS served_by
+_CANDIDATES = """, base AS (SELECT shard_id, node_id, region, CASE WHEN role = 'primary' THEN 'primary' ELSE 'secondary' END AS served_by, CASE WHEN role = 'primary' THEN 0 ELSE 1 END AS a FROM sets WHERE state = 'in_sync'
+  UNION ALL SELECT shard_id, owner, r_name, 'shard_owner', 0 FROM entries JOIN nation ON n_name = owner JOIN region ON r_regionkey = n_regionkey WHERE shard_id NOT IN (SELECT shard_id FROM sets)),
+stays AS (SELECT b.shard_id, b.node_id, b.region, b.a, CASE WHEN m.has_cut_over AND b.node_id = m.destination THEN 'migration_destination' WHEN NOT m.has_cut_over AND b.node_id = m.source THEN 'migration_source' ELSE b.served_by END AS served_by
   FROM base b LEFT JOIN moves m USING (shard_id) WHERE m.source IS NULL OR (m.has_cut_over AND b.node_id <> m.source) OR (NOT m.has_cut_over AND b.node_id <> m.destination)),
-everything AS (SELECT * FROM stays UNION ALL SELECT shard_id, destination, -1, 'migration_destination' FROM moves m WHERE has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id AND s.node_id = m.destination)
-  UNION ALL SELECT shard_id, source, -1, 'migration_source' FROM moves m WHERE NOT has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id))
-SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY a, node_id) AS rank, node_id, served_by FROM everything""")
+everything AS (SELECT * FROM stays UNION ALL SELECT shard_id, destination, NULL, -1, 'migration_destination' FROM moves m WHERE has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id AND s.node_id = m.destination)
+  UNION ALL SELECT shard_id, source, NULL, -1, 'migration_source' FROM moves m WHERE NOT has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id))
+"""
+
+
+@query(_TOPOLOGY + _CANDIDATES + "SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY a, node_id) AS rank, node_id, served_by FROM everything")
 def read_candidates(spark, sf_dir):
     return routing.read_candidates(*_topology(spark, sf_dir))
 
 
-@query()
+@query(_TOPOLOGY + _CANDIDATES + """, ranked AS (SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY CASE WHEN region = 'ASIA' THEN 0 ELSE 1 END, a, node_id) AS rank, node_id, served_by FROM everything),
+judged AS (SELECT r.*, n.n_nationkey % 11 <> 10 AS routable FROM ranked r JOIN nation n ON n.n_name = r.node_id)
+SELECT *, CASE WHEN NOT bool_or(routable) OVER (PARTITION BY shard_id) THEN 'no_live_owner' END AS error FROM judged""")
 def region_routes(spark, sf_dir):
     """Read candidates that prefer one region, with which of them can be routed to."""
     nodes = T.fleet_nodes(spark, sf_dir).select("node_id", F.when(F.col("condition") == "healthy", "serviceable").when(F.col("condition") == "degraded", "unknown").otherwise("unreachable").alias("availability"))
