@@ -6,11 +6,12 @@ Jaccard similarity t share a shingle among the first |x| - ceil(t |x|) + 1 of ea
 rare-first order, so these few are shuffled; a shingle of one set alone ends there. Equal
 sets are one node from the start.
 
-Nodes that share a rare shingle are compared in two rounds. First every node with the least
-node of each of its shingles: that joins groups of copies as stars. Then, of shingles that
-still span several components, every pair of nodes of different components whose sizes
-allow a link. A pair within one component can't change the result, so it is never made;
-a pair across components always is, so no link is lost.
+Nodes that share rare shingles are compared in two rounds. First every node with a few of the
+least nodes of its shingles: that joins groups of copies as stars. Then, of shingles that
+still span several components, every pair of nodes of different components that share one
+early enough in both sets, and enough of them, for a link. A pair within one
+component can't change the result, so it is never made; a pair across components that may
+link always is, so no link is lost.
 
 Pairs are verified by trie: the candidates of one node, in common-first order, stand sorted
 so that equal beginnings are adjacent (a trie whose paths are shared beginnings). One walk
@@ -34,8 +35,10 @@ from .graph import components
 from .storage import kept
 
 BINS = 1 << 19
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BLOCK = 64
+#: Least nodes that a node is compared with in the first round.
+STARS = 2
 
 
 def _bin(h: np.ndarray) -> np.ndarray:
@@ -81,60 +84,63 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return table.filter("chunk is null").select("doc_id", "n_shingles", "sid"), counts
 
 
-def prefix_length(n: np.ndarray | int, percent: int):
+def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _rest(size: str, percent: int):
+    """Shingles of a set beyond its prefix."""
+    return F.ceil(percent * F.col(size) / 100) - 1
+
+
 def _shared(docs: DataFrame, counts, percent: int) -> DataFrame:
-    """(token, sid) of the prefix shingles that more than one set has."""
+    """(token, sid, at) of the prefix shingles that more than one set has; `at` is a shingle's place in its set, rarest first."""
     spark = docs.sparkSession
     buckets = 8 * C.partitions(spark)
     step = np.uint64((1 << 64) // buckets + 1)
 
-    def rows(tokens, sids):
-        tokens, sids = np.concatenate(tokens), np.concatenate(sids)
+    def distinct(tokens, sids, at):
         order = np.lexsort((sids, tokens))
-        tokens, sids = tokens[order], sids[order]
+        tokens, sids, at = tokens[order], sids[order], at[order]
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])
-        tokens, sids = tokens[new], sids[new]
-        return C.bucket_rows((tokens // step).astype(np.int64), [tokens, sids], ["tokens", "sids"])
+        return tokens[new], sids[new], at[new]
+
+    def rows(tokens, sids, at):
+        tokens, sids, at = distinct(np.concatenate(tokens), np.concatenate(sids), np.concatenate(at))
+        return C.bucket_rows((tokens // step).astype(np.int64), [tokens, sids, at], ["tokens", "sids", "at"])
 
     def deal(batches):
-        rank, tokens, sids, size = counts.value, [], [], 0
+        rank, tokens, sids, at, size = counts.value, [], [], [], 0
         for b in C.slices(batches):
             for s in shingle_sets(b):
                 if len(s):
                     own = s[np.lexsort((s, rank[_bin(s)]))[: prefix_length(len(s), percent)]]
                     tokens.append(own)
                     sids.append(np.full(len(own), _node_hash(s), dtype=np.int64))
+                    at.append(np.arange(len(own), dtype=np.int32))
                     size += len(own)
             if size >= FLUSH:
-                yield rows(tokens, sids)
-                tokens, sids, size = [], [], 0
+                yield rows(tokens, sids, at)
+                tokens, sids, at, size = [], [], [], 0
         if size:
-            yield rows(tokens, sids)
+            yield rows(tokens, sids, at)
 
     def meet(batches):
-        tokens, sids = C.joined(batches, ["tokens", "sids"], [np.uint64, np.int64])
+        tokens, sids, at = C.joined(batches, ["tokens", "sids", "at"], [np.uint64, np.int64, np.int32])
         if not len(tokens):
             return
-        order = np.lexsort((sids, tokens))
-        tokens, sids = tokens[order], sids[order]
-        same = tokens[1:] == tokens[:-1]
-        new = np.ones(len(tokens), dtype=bool)
-        new[1:] = ~same | (sids[1:] != sids[:-1])
-        tokens, sids = tokens[new], sids[new]
+        tokens, sids, at = distinct(tokens, sids, at)
         same = tokens[1:] == tokens[:-1]
         live = np.zeros(len(tokens), dtype=bool)
         live[1:] |= same
         live[:-1] |= same
-        tokens, sids = tokens[live].view(np.int64), sids[live]
-        for i in range(0, len(tokens), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[i : i + (1 << 16)]), pa.array(sids[i : i + (1 << 16)])], names=["token", "sid"])
+        columns = tokens[live].view(np.int64), sids[live], at[live]
+        for i in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["token", "sid", "at"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, tokens binary, sids binary")
-    return dealt.repartition(C.partitions(spark), "bucket").mapInArrow(meet, "token bigint, sid bigint")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, tokens binary, sids binary, at binary")
+    return dealt.repartition(C.partitions(spark), "bucket").mapInArrow(meet, "token bigint, sid bigint, at int")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, counts) -> DataFrame:
@@ -245,29 +251,44 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     survey, counts = _survey(docs)
     counts = spark.sparkContext.broadcast(counts)
     classes = kept(survey.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")))
-    shared = kept(_shared(docs, counts, percent).join(classes, "sid").select("token", "node", "size"))
-
-    hubs = kept(shared.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("token", "b"))
-    sizes = classes.select(F.col("node").alias("b"), F.col("size").alias("size_b"))
-    allowed = (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
-    stars = kept(shared.join(hubs, "token").filter("node <> b").select(F.col("node").alias("a"), "b", "size").distinct().join(sizes, "b").filter(allowed).select("a", "b"))
+    shared = kept(_shared(docs, counts, percent).join(classes, "sid").select("token", "node", "size", "at"))
+
+    # Each node with those least nodes of its shingles with which it shares most of them.
+    hubs = shared.groupBy("token").agg(F.min("node").alias("b"), F.min_by("size", "node").alias("size_b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    needed = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent))
+    # Of a link's shared shingles, all but those of the longer rest beyond the prefixes are shared by the prefixes.
+    least = needed - F.greatest(_rest("size", percent), _rest("size_b", percent))
+    allowed = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
+    stars = (
+        shared.join(hubs, "token").filter("node <> b").filter(allowed)
+        .groupBy(F.col("node").alias("a"), "b", "size", "size_b").agg(F.count("*").alias("n"))
+        .filter(4 * F.col("n") >= least)
+        .groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("b")).alias("b"))), asc=False), 1, STARS).alias("best"))
+        .select("a", F.explode("best").alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    )
+    stars = kept(stars)
     nodes = kept(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
     sets = kept(_sets_of(docs, nodes, counts))
     links = kept(_linked(stars, sets, percent))
     labels = components(links)
 
-    # Shingles that span several components: every pair across them.
+    # Shingles that still span several components: every pair across them that may link. The first
+    # shingle that such a pair shares has at least `needed` - 1 after it in either set, and at least
+    # `least` of the shared ones are in both prefixes.
     placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spans = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
     open_ = kept(placed.join(spans, "token", "left_semi"))
-    left = open_.select("token", F.col("node").alias("a"), F.col("size").alias("size"), F.col("component").alias("component_a"))
-    right = open_.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    across = left.join(right, "token").filter("component_a > component_b").filter(allowed).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    across = kept(across)
+    left = open_.select(F.col("token").alias("token_a"), F.col("node").alias("a"), "size", "at", F.col("component").alias("component_a"))
+    right = open_.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
+    early = (F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
+    across = left.join(right, (F.col("token_a") == F.col("token")) & (F.col("component_a") > F.col("component_b")) & allowed & early)
+    across = across.select("a", "b", "size", "size_b").distinct()
+    prefixes = kept(open_.groupBy("node").agg(F.collect_list("token").alias("tokens")))  # a node's are as many as its prefix at most
+    across = across.join(prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
+    across = kept(across.filter(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b"))
     if not across.isEmpty():
-        more = kept(across.select(F.col("a").alias("node")).union(across.select("b")).distinct().join(nodes, "node", "left_anti"))
-        if not more.isEmpty():
-            sets = sets.unionByName(kept(_sets_of(docs, more, counts)))
+        more = across.select(F.col("a").alias("node")).union(across.select("b")).distinct().join(nodes, "node", "left_anti")
+        sets = sets.unionByName(kept(_sets_of(docs, kept(more), counts)))
         found = kept(_linked(across, sets, percent))
         if not found.isEmpty():
             labels = components(links.union(found))
