@@ -74,14 +74,14 @@ def merged(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with `next_<column>` of the row that follows by doc_id, cyclically.
 
-    The ids are cut into as many ranges as there are shuffle partitions, at values that occur
-    among them, so the first row of each range is known. It is dealt to the range before it
+    The ids are cut into a few ranges for each shuffle partition, at values that occur among
+    them, so the first row of each range is known. It is dealt to the range before it
     as well, and there the row that follows any other is a window's next one. No task sees
     more than a range, and the texts are shuffled once.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    n = partitions(spark)
+    n = 4 * partitions(spark)
     found = docs.select(key.alias("k")).agg(F.min("k").alias("low"), F.percentile_approx("k", F.array(*[F.lit(i / n) for i in range(n)]), F.lit(10000)).alias("cut")).first()
     if found["low"] is None:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
