@@ -103,7 +103,7 @@ def toxicity_model(docs: DataFrame, sf_dir: str):
     from .toxicity import train
 
     labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return train(docs.filter(C.fold_of() != 0).select("doc_id", "text").join(labels, "doc_id"))
+    return train(docs.filter(C.fold_of() != 0).select("doc_id", "text"), labels)
 
 
 @query

@@ -273,15 +273,17 @@ def _learn_terms(rows: DataFrame, most: int, least: int) -> tuple[np.ndarray, np
     return terms[order], weights[order]
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 4096, least: int = 3) -> ToxicityModel:
-    """Fit on `labelled` (doc_id, text, toxic 0/1); rows beyond `max_rows` by hash of the id are left out."""
-    spark = labelled.sparkSession
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4096, least: int = 3) -> ToxicityModel:
+    """Fit on the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic 0/1) has; of these `max_rows` at most, by hash of the id.
+
+    A document that is labelled twice counts as toxic if either label says so. The rows are chosen by id alone, and
+    since they are bounded the texts are found by a broadcast join.
+    """
+    spark = docs.sparkSession
     C.session_limits(spark)
-    rows = labelled.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
-    if n > max_rows:  # the ids come first, so that no text is sorted
-        ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(max_rows)
-        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
     terms, weights = _learn_terms(rows.filter(part == 0), max_terms, least)
     shared = spark.sparkContext.broadcast((terms, weights))

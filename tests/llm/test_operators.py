@@ -228,12 +228,12 @@ def test_toxicity(spark):
         toxic.append(int(bad))
     docs = frame(spark, [*texts, *ODD])
     labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)] + [(9999, None)], "doc_id bigint, toxic int")
-    model = toxicity.train(docs.filter("doc_id < 300").select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs.filter("doc_id < 300").select("doc_id", "text"), labels)
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert all((got[i]["predicted"] == 1) == (toxic[i] == 1) for i in range(300, 400))
     assert all(got[400 + i]["predicted"] == 0 and 0 <= got[400 + i]["score"] <= 1 for i in range(len(ODD)))
     assert got[400]["score"] == got[401]["score"] and got[0]["bucket"] == 2
-    none = toxicity.train(docs.select("doc_id", "text").join(labels.limit(0), "doc_id"))
+    none = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
