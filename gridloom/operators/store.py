@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pandas as pd
@@ -135,29 +136,31 @@ def transactions(operations: DataFrame) -> DataFrame:
     def run(df: pd.DataFrame) -> pd.DataFrame:
         nodes: dict = {}
         out = []
-        for tx, ops in df.sort_values(["tx_id", "position"]).groupby("tx_id", sort=True):
-            draft, ok = dict(nodes), True
-            for o in ops.itertuples():
-                held = draft.get(o.address)
+        ordered = df.sort_values(["tx_id", "position"])[["tx_id", "type", "address", "expect_eq", "set"]]
+        for tx, ops in itertools.groupby(ordered.itertuples(index=False), key=lambda o: o.tx_id):
+            before: dict = {}  # what the transaction has changed, to be put back if it is refused
+            ok = True
+            for o in ops:
+                held = nodes.get(o.address)
                 fresh = json.loads(o.set) if o.set else {}
                 if o.type == "create":
-                    ok = held is None
-                    draft[o.address] = fresh
+                    ok, new = held is None, fresh
                 elif o.type == "insert_node":
-                    draft[o.address] = fresh
+                    new = fresh
                 elif o.type == "delete_node":
-                    ok = held is not None
-                    draft.pop(o.address, None)
+                    ok, new = held is not None, None
                 elif o.type == "set_if":
-                    ok = held is not None and json.dumps(held, sort_keys=True) == json.dumps(json.loads(o.expect_eq), sort_keys=True)
-                    draft[o.address] = {**(held or {}), **fresh}
+                    ok, new = held is not None and held == json.loads(o.expect_eq), {**(held or {}), **fresh}
                 elif o.type == "claim":
-                    ok = held is not None and "claimed_by" not in held
-                    draft[o.address] = {**(held or {}), "claimed_by": o.set}
+                    ok, new = held is not None and "claimed_by" not in held, {**(held or {}), "claimed_by": o.set}
+                else:
+                    raise ValueError(f"unknown operation: {o.type}")
                 if not ok:
                     break
-            if ok:
-                nodes = draft
+                before.setdefault(o.address, held)
+                nodes[o.address] = new
+            if not ok:
+                nodes.update(before)
             out.append((int(tx), 200 if ok else 412))
         return pd.DataFrame(out, columns=["tx_id", "status"])
 
