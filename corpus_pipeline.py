@@ -5,7 +5,8 @@ again as the next one's docs. All but the last return the columns of documents.
 
 Null texts pass every filter (they are neither toxic nor copies) and are packed as empty;
 an empty table stays empty; a row that repeats a doc_id stays with the document it repeats;
-further columns pass through up to the packing.
+a null doc_id is compared with no other; further columns, whatever their names, pass through
+up to the packing.
 """
 
 from __future__ import annotations
@@ -28,9 +29,16 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), "n_chars"))
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its own columns of these names out of an operator's way, and the way back."""
+    back = {f"_own_{n}": n for n in names if n in docs.columns}
+    return docs.withColumnsRenamed({n: k for k, n in back.items()}), back
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go."""
-    return score(docs, Q.toxicity_model(docs, sf_dir)).filter("predicted = 0").select(docs.columns)
+    own, back = _aside(docs, "score", "predicted")
+    return score(own, Q.toxicity_model(own, sf_dir)).filter("predicted = 0").select(own.columns).withColumnsRenamed(back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates."""
-    return _measured(replace(docs).select(docs.columns))
+    own, back = _aside(docs, "n_entities")
+    return _measured(replace(own).select(own.columns)).withColumnsRenamed(back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

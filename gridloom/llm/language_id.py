@@ -6,7 +6,8 @@ broadcast. Scoring gathers the matrix's entries of a batch's n-grams and sums th
 
 Defined cases: a text that is null or has no letter is `und` with score 0; training rows
 with a null text or language are left out; without any training row every text is `und`;
-equal texts get equal predictions; other columns of the input are passed through untouched.
+equal texts get equal predictions; other columns of the input are passed through untouched,
+but a column named lang_pred or score gives way to the result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ rows that an earlier part has fitted.
 
 Defined cases: a null or empty text has zero features and gets the score these have; without
 positive or without negative labels the score is the share of positive ones, or 0 without
-labels; rows with a null label or id are left out of training; equal texts score alike.
+labels; rows with a null label or id are left out of training; equal texts score alike;
+columns named score or predicted give way to the result, all others pass through.
 """
 
 from __future__ import annotations
