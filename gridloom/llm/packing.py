@@ -146,7 +146,7 @@ def _fill(sources, docs_of, share, carry, window, least):
         w += 1
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, least: int = 128, part_tokens: int = 1 << 22, targets: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, least: int = 128, part_tokens: int = 1 << 20, targets: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece (PIECES). `targets` are token shares by source; by default those of the corpus."""
     spark = docs.sparkSession
     tokens = kept(tokenize(docs, path, end_id))
