@@ -45,8 +45,14 @@ PATTERNS = {
 }
 _numbered = dict(PATTERNS, card=PATTERNS["card"].replace(r"([ \-])", r"(?<sep>[ \-])").replace(r"\1", r"\k<sep>"))
 ENTITY = "|".join(f"(?:{p})" for p in _numbered.values())
-#: A character that every entity holds, for texts that need no scan.
-_HINT = rf"[0-9@]|\b(?:{_TITLES}|{_GIVEN}|token|secret|password|passwd|pwd|key)\b|(?i:token|secret|passw|pwd|key)"
+#: What every entity of a type holds, each alternative of its pattern with its own part: texts without any need no scan.
+HINTS = {
+    "email": "@",
+    "secret": r"(?i:token|secret|passw|pwd|key)|\bAKIA[0-9A-Z]{16}|\bgh[pousr]_[A-Za-z0-9]{36}|\bsk-[A-Za-z0-9]{20}|\b[0-9a-f]{32}",
+    **{kind: "[0-9]" for kind in ("iban", "card", "ip", "ssn", "phone")},
+    "name": rf"\b{_TITLES}\.? \p{{Lu}}|\b(?:{_GIVEN}) \p{{Lu}}",
+}
+_HINT = "|".join(dict.fromkeys(HINTS.values()))
 
 #: Classes within which a character is shifted.
 CLASSES = ["0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "áéíóúàèùâêîôûäöü", "ÁÉÍÓÚÀÈÙÂÊÎÔÛÄÖÜ"]
