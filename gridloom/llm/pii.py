@@ -1,24 +1,32 @@
 """Personal data: surrogates that keep type, format, gender and script, in built-in functions only.
 
-A surrogate is a keyed bijection of the entity's own characters: from the left and from the
-right, each letter or digit is shifted within its class (digit, hexadecimal digit, upper or
-lower case vowel or consonant of its script) by an amount that a keyed hash of the characters
-already written gives. So equal entities get equal surrogates everywhere (coreference),
-different ones of a type get different ones (distinctness) without any table of what was
-replaced, and no shuffle is needed. Given names known to the lists are exchanged within their
-gender's and script's list by a keyed rotation. `collisions` is the check: it looks through
-all distinct entities of the corpus and returns the surrogates that two share, or that leave an entity as it was.
+A surrogate is a keyed bijection, without fixed points, of the entity's own characters: each
+letter or digit is shifted within its class (digit, hexadecimal digit, upper or lower case
+vowel or consonant of its script) by an amount that a keyed hash of other characters gives. It
+is made of what tells entities apart (an email in lower case, the digits of a number, an IBAN
+without blanks), and the format is put back, so equal entities get equal surrogates everywhere
+(coreference) and different ones of a type different ones (distinctness) without any table of
+what was replaced. Given names known to the lists are exchanged within their gender's and
+script's list by a keyed rotation; other words never become one of them.
+
+`collisions` is the check: it looks through all distinct entities of the corpus and returns the
+surrogates that two share, or that leave an entity as it was. `replace` runs it first, and
+takes the next key where it finds any.
 
 Types: email, iban, card (its check digit stays right or wrong as it was), ip, ssn, phone
 (the country code stays), secret, and names after a title or beginning with a listed given name.
 
 Defined cases: a null text stays null with 0 entities; texts without entities are unchanged;
-a long text is scanned whole; equal rows are rewritten alike; an empty table stays empty;
+a long text is scanned whole; equal rows are rewritten alike; an empty table stays empty; a value
+without a letter or digit ("password: ________") has nothing to hide and stays;
 a column named n_entities gives way to the result, all others pass through.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,31 +65,67 @@ _HINT = "|".join(dict.fromkeys(HINTS.values()))
 #: Classes within which a character is shifted.
 CLASSES = ["0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "áéíóúàèùâêîôûäöü", "ÁÉÍÓÚÀÈÙÂÊÎÔÛÄÖÜ"]
 _HEX = ["0123456789abcdef"]
+#: Calling codes of one and two digits; all others have three.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Other keys to try, should the check find a collision.
+KEYS = 8
 
 
-def _shift(ch: Column, h: Column, classes: list[str]) -> Column:
-    """`ch` moved within its class by 1 to its size - 1 places, so that it never stays."""
-    out = ch
-    for c in reversed(classes):
-        at = F.instr(F.lit(c), ch)
-        moved = F.substring(F.lit(c), ((at - 1 + 1 + F.pmod(h, F.lit(len(c) - 1))) % len(c) + 1).cast("int"), F.lit(1))
-        out = F.when((at > 0) & (F.char_length(ch) == 1), moved).otherwise(out)
-    return out
+def _others() -> list[str]:
+    """Classes of the cased letters that CLASSES leaves out, by script and case; scripts with a single one go together."""
+    listed, found = set("".join(CLASSES)), defaultdict(str)
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.category(c) in ("Lu", "Lt", "Ll") and c not in listed:
+            found[unicodedata.category(c) == "Ll", unicodedata.name(c).split()[0]] += c
+    single = ["".join(c for (low, _), c in found.items() if low == lower and len(c) == 1) for lower in (False, True)]
+    return [c for c in [*found.values(), *single] if len(c) > 1]
+
+
+def _table(classes: list[str]) -> tuple[str, str]:
+    """The letters of all classes in a row, and for each 5 digits of where its class begins and 4 of its size."""
+    begins = [1 + sum(map(len, classes[:k])) for k in range(len(classes))]
+    return "".join(classes), "".join(f"{b:05d}{len(c):04d}" * len(c) for b, c in zip(begins, classes))
+
 
+_LETTERS = _table(CLASSES + _others())
+_HEX_LETTERS = _table(_HEX)
 
-def _pass(chars: Column, key: str, salt: Column, classes: list[str]) -> Column:
+
+def _shift(ch: Column, h: Column, table: tuple[str, str], way: int = 1) -> Column:
+    """`ch` moved within its class by 1 to its size - 1 places, so that it never stays; `way` -1 takes it back."""
+    letters, places = F.lit(table[0]), F.lit(table[1])
+    at = F.instr(letters, ch)
+    begin = F.substring(places, (at - 1) * 9 + 1, F.lit(5)).cast("int")
+    size = F.substring(places, (at - 1) * 9 + 6, F.lit(4)).cast("int")
+    by = 1 + F.pmod(h, size - 1)
+    return F.when((F.char_length(ch) == 1) & (at > 0), F.substring(letters, (begin + F.pmod(at - begin + way * by, size)).cast("int"), F.lit(1))).otherwise(ch)
+
+
+def _pass(chars: Column, key: str, salt: Column, table: tuple[str, str]) -> Column:
     """One sweep from the left: each shift depends on all characters written before it."""
-    return F.aggregate(chars, F.array().cast("array<string>"), lambda done, ch: F.array_append(done, _shift(ch, F.xxhash64(F.lit(key), salt, F.array_join(done, "")), classes)))
+    return F.aggregate(chars, F.array().cast("array<string>"), lambda done, ch: F.array_append(done, _shift(ch, F.xxhash64(F.lit(key), salt, F.array_join(done, "")), table)))
+
+
+def _back(chars: Column, key: str, salt: Column, table: tuple[str, str]) -> Column:
+    """The characters that `_pass` made these of."""
+    return F.transform(chars, lambda ch, i: _shift(ch, F.xxhash64(F.lit(key), salt, F.array_join(F.slice(chars, F.lit(1), i), "")), table, -1))
 
 
-def permuted(value: Column, key: str, salt: Column, classes: list[str] = CLASSES) -> Column:
-    """A bijection of texts with the same classes of characters in the same places.
+def permuted(value: Column, key: str, salt: Column, table: tuple[str, str] = _LETTERS) -> Column:
+    """A bijection of texts with the same classes of characters in the same places, which leaves none as it is.
 
-    From the right, then from the left. That the two sweeps give a text back is possible but
-    as unlikely as guessing it; `collisions` looks for it.
+    A sweep from the right, one from the left, and the first one taken back. The sweep from the
+    left always moves the first character that has a class, so it has no fixed point, and what
+    stands between a bijection and its inverse has as few.
     """
-    back = F.reverse(_pass(F.reverse(F.split(value, "")), key + "<", salt, classes))
-    return F.array_join(_pass(back, key + ">", salt, classes), "")
+    mixed = F.reverse(_pass(F.reverse(F.split(value, "")), key + "<", salt, table))
+    moved = F.transform(F.array(F.reverse(_pass(mixed, key + ">", salt, table))), lambda chars: _back(chars, key + "<", salt, table))
+    return F.array_join(F.reverse(F.element_at(moved, 1)), "")
+
+
+def _walked(value: Column, times: int, barred, step) -> Column:
+    """`value` after one step, and further ones as long as it is barred: a bijection of what is not barred, if `step` is one."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), value, lambda v, k: F.when((k == 1) | barred(v), step(v)).otherwise(v))
 
 
 def _luhn(digits: Column) -> Column:
@@ -93,12 +137,12 @@ def _luhn(digits: Column) -> Column:
     return (10 - total % 10) % 10
 
 
-def _digits_into(value: Column, digits: Column) -> Column:
-    """`value` with its digits replaced in turn by those of `digits`, all else as it was."""
+def _into(value: Column, chars: Column, place: str = "^[0-9]$") -> Column:
+    """`value` with its characters that fit `place` replaced in turn by those of `chars`, all else as it was."""
     done = F.aggregate(
         F.split(value, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda a, ch: F.when(ch.rlike("^[0-9]$"), F.struct(F.concat(a["out"], F.substring(digits, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], ch).alias("out"), a["at"].alias("at"))),
+        lambda a, ch: F.when(ch.rlike(place), F.struct(F.concat(a["out"], F.substring(chars, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], ch).alias("out"), a["at"].alias("at"))),
     )
     return done["out"]
 
@@ -121,38 +165,46 @@ def _given(name: Column, key: str) -> Column:
     return out
 
 
+_SECRET_PREFIX = r"^((?:(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)|AKIA|gh[pousr]_|sk-)"
+
+
 def surrogate(entity: Column, key: str) -> Column:
     """The replacement of an entity's text."""
     kind = kind_of(entity)
     digits = F.regexp_replace(entity, r"[^0-9]", "")
-    name_words = F.split(entity, " ")
-    word = lambda w: F.when(F.regexp_replace(w, r"\.$", "").rlike(f"^{_TITLES}$"), w).otherwise(F.coalesce(_given(w, key), permuted(w, key, F.lit("name"))))
+    # Only the first word is a title; no other word becomes a listed name.
+    listed = [n for names in _NAMES for n in names]
+    other = lambda w: _walked(w, len(listed) + 1, lambda v: v.isin(listed), lambda v: permuted(v, key, F.lit("name")))
+    word = lambda w, i: F.when((i == 0) & F.regexp_replace(w, r"\.$", "").rlike(f"^{_TITLES}$"), w).otherwise(F.coalesce(_given(w, key), other(w)))
     # An email's case doesn't tell persons apart; its last label stays.
     email = F.concat(permuted(F.regexp_extract(F.lower(entity), r"^(.*\.)[^.]*$", 1), key, F.regexp_extract(F.lower(entity), r"([^.]*)$", 1)), F.regexp_extract(entity, r"([^.]*)$", 1))
-    prefix = F.regexp_extract(entity, r"^((?:(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)|AKIA|gh[pousr]_|sk-)", 1)
+    prefix = F.regexp_extract(entity, _SECRET_PREFIX, 1)
     value = F.substring(entity, F.char_length(prefix) + 1, F.char_length(entity))
-    secret = F.concat(prefix, F.when(value.rlike("^[0-9a-f]+$"), permuted(value, key, F.lit("secret"), _HEX)).otherwise(permuted(value, key, F.lit("secret"))))
+    # Hexadecimal values stay so, and no other one becomes so.
+    is_hex = lambda v: v.rlike("^[0-9a-f]+$")
+    secret = F.concat(prefix, F.when(is_hex(value), permuted(value, key, F.lit("secret"), _HEX_LETTERS)).otherwise(_walked(value, 64, is_hex, lambda v: permuted(v, key, F.lit("secret")))))
     body = F.substring(digits, F.lit(1), F.char_length(digits) - 1)
     new_body = permuted(body, key, F.lit("card"))
     last = F.substring(digits, F.char_length(digits), F.lit(1)).cast("int")
     off = F.pmod(last - _luhn(F.split(body, "")), F.lit(10))
-    card = _digits_into(entity, F.concat(new_body, F.pmod(_luhn(F.split(new_body, "")) + off, F.lit(10)).cast("string")))
+    card = _into(entity, F.concat(new_body, F.pmod(_luhn(F.split(new_body, "")) + off, F.lit(10)).cast("string")))
     octets = F.transform(F.split(entity, r"\."), lambda o: o.cast("int"))
     ip = F.array_join(
         F.aggregate(octets, F.array().cast("array<int>"), lambda done, o: F.array_append(done, F.when(F.size(done) == 0, F.when((o < 1) | (o > 223), o).otherwise((o - 1 + 1 + F.pmod(F.xxhash64(F.lit(key)), F.lit(222)).cast("int")) % 223 + 1)).otherwise((o + 1 + F.pmod(F.xxhash64(F.lit(key), F.array_join(done, ".")), F.lit(255)).cast("int")) % 256))), "."
     )
-    country = F.regexp_extract(entity, r"^(\+\d{1,3})(?=[ \-.(])", 1)
-    rest = F.substring(entity, F.char_length(country) + 1, F.char_length(entity))
-    phone = F.concat(country, _digits_into(rest, permuted(F.regexp_replace(rest, r"[^0-9]", ""), key, F.concat(F.lit("phone"), country))))
+    country = F.when(entity.startswith("+"), F.regexp_extract(digits, _COUNTRY, 1)).otherwise("")
+    phone = _into(entity, F.concat(country, permuted(F.substring(digits, F.char_length(country) + 1, F.char_length(digits)), key, F.concat(F.lit("phone"), country))))
+    rest = F.substring(entity, F.lit(3), F.char_length(entity))
+    iban = F.concat(F.substring(entity, 1, 2), _into(rest, permuted(F.replace(rest, F.lit(" "), F.lit("")), key, F.lit("iban")), "^[^ ]$"))
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", secret)
-        .when(kind == "iban", F.concat(F.substring(entity, 1, 2), permuted(F.substring(entity, F.lit(3), F.char_length(entity)), key, F.lit("iban"))))
+        .when(kind == "iban", iban)
         .when(kind == "card", card)
         .when(kind == "ip", ip)
-        .when(kind == "ssn", _digits_into(entity, permuted(digits, key, F.lit("ssn"))))
+        .when(kind == "ssn", _into(entity, permuted(digits, key, F.lit("ssn"))))
         .when(kind == "phone", phone)
-        .otherwise(F.array_join(F.transform(name_words, word), " "))
+        .otherwise(F.array_join(F.transform(F.split(entity, " "), word), " "))
     )
 
 
@@ -165,6 +217,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def replace(docs: DataFrame, key: str = "gridloom") -> DataFrame:
     """`docs` with its text rewritten, and n_entities; other columns stay as they are."""
+    key = free_key(docs, key)
     rows = entities(docs.select(F.struct("*").alias("row"), F.col("text")))
     rows = rows.withColumn("new", F.transform("found", lambda e: surrogate(e, key)))
     between = F.split(F.col("text"), ENTITY, -1)
@@ -173,8 +226,33 @@ def replace(docs: DataFrame, key: str = "gridloom") -> DataFrame:
     return rows.select(*taken, F.size("found").cast("long").alias("n_entities"))
 
 
+def free_key(docs: DataFrame, key: str) -> str:
+    """The first of `key` and the keys after it whose surrogates have no collisions in the corpus."""
+    for k in range(KEYS):
+        tried = f"{key}#{k}" if k else key
+        if collisions(docs, tried).isEmpty():
+            return tried
+    raise ValueError(f"surrogates collide for each of {KEYS} keys")
+
+
+def normal(kind: Column, entity: Column) -> Column:
+    """What tells entities of a type apart."""
+    digits = F.regexp_replace(entity, r"[^0-9]", "")
+    return (
+        F.when(kind == "email", F.lower(entity))
+        .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+        .when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.concat(F.regexp_extract(entity, r"^(\+?)", 1), digits))
+        .otherwise(entity)
+    )
+
+
 def collisions(docs: DataFrame, key: str = "gridloom") -> DataFrame:
     """kind, surrogate and n_entities of every surrogate that two different entities share or that equals its entity."""
-    distinct = entities(docs.select("text")).select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
-    made = distinct.withColumn("kind", kind_of(F.col("entity"))).withColumn("entity", F.when(F.col("kind") == "email", F.lower("entity")).otherwise(F.col("entity"))).select("kind", "entity", surrogate(F.col("entity"), key).alias("surrogate")).distinct()
-    return made.groupBy("kind", "surrogate").agg(F.count("*").alias("n_entities"), F.max((F.col("entity") == F.col("surrogate")).cast("int")).alias("unchanged")).filter("n_entities > 1 or unchanged = 1")
+    distinct = entities(docs.select("text")).select(F.explode("found").alias("entity")).distinct()
+    made = distinct.withColumn("kind", kind_of(F.col("entity"))).withColumn("surrogate", surrogate(F.col("entity"), key))
+    made = made.select("kind", normal(F.col("kind"), F.col("entity")).alias("entity"), normal(F.col("kind"), F.col("surrogate")).alias("surrogate"))
+    # What is replaced of an entity: not an email's last label, nor the word before a secret.
+    replaced = F.when(F.col("kind") == "email", F.regexp_extract("entity", r"^(.*)\.[^.]*$", 1)).when(F.col("kind") == "secret", F.regexp_replace("entity", _SECRET_PREFIX, "")).otherwise(F.col("entity"))
+    made = made.distinct().withColumn("same", ((F.col("entity") == F.col("surrogate")) & replaced.rlike(r"[\p{L}\p{N}]")).cast("int"))
+    return made.groupBy("kind", "surrogate").agg(F.countDistinct("entity").alias("n_entities"), F.max("same").alias("unchanged")).filter("n_entities > 1 or unchanged = 1")

@@ -178,6 +178,33 @@ def test_secrets_without_digits_are_replaced(spark):
         assert got[i]["n_entities"] == 1 and x not in got[i]["text"], x
 
 
+def test_short_values_change_and_stay_distinct(spark):
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    names = [f"Mr. {a}{b}" for a in up for b in low] + ["Mr. Παππάς", "Mrs. Ёъ", "Mme Ñç", *[f"Mrs. {n}" for names in pii._NAMES for n in names]]
+    for values in (names, [f"{a}@{b}.org" for a in low for b in low]):
+        docs = spark.createDataFrame([(" ; ".join(values),)], "text string")
+        assert pii.collisions(docs).count() == 0
+        made = pii.replace(docs).first()["text"].split(" ; ")
+        assert len(set(made)) == len(values) and not any(a == b for a, b in zip(values, made))
+
+
+def test_formats_refer_to_the_same(spark):
+    values = ["GB33BUKB20201555555555", "GB33 BUKB 2020 1555 5555 55", "+49 (30) 1234-5678", "+493012345678", "+49 30 1234 5678", "password: ________"]
+    made = pii.replace(spark.createDataFrame([(" ; ".join(values),)], "text string")).first()["text"].split(" ; ")
+    assert made[0] == made[1].replace(" ", "") and made[1].count(" ") == 5 and made[0] != values[0] and made[0][:2] == "GB"
+    digits = {"".join(c for c in x if c.isdigit()) for x in made[2:5]}
+    assert len(digits) == 1 and digits != {"493012345678"} and made[3].startswith("+49") and made[5] == values[5]
+
+
+def test_another_key_where_surrogates_collide(spark, monkeypatch):
+    docs = spark.createDataFrame([("Mr. Fox met Mr. Cat",)], "text string")
+    monkeypatch.setattr(pii, "surrogate", lambda e, key: F.lit("Mr. One") if key == "gridloom" else F.concat(e, F.lit("x")))
+    assert pii.replace(docs).first()["text"] == "Mr. Foxx met Mr. Catx"
+    monkeypatch.setattr(pii, "surrogate", lambda e, key: e)
+    with pytest.raises(ValueError):
+        pii.replace(docs)
+
+
 # 5 ------------------------------------------------------------------------------------------------------------
 
 
