@@ -7,6 +7,7 @@ sums, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 import numpy as np
@@ -27,9 +28,14 @@ _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def session_limits(spark: SparkSession) -> None:
-    """Arrow batches small enough that a Python worker holds a few MB at a time, and workers that find this package where the driver has it."""
-    spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Workers that find this package where the driver has it, besides what the user lets them find; and, where the user has left
+    the default, Arrow batches small enough that a Python worker holds a few MB at a time."""
+    own, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if own not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([own, *paths])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -164,13 +170,25 @@ def bucket_rows(buckets: np.ndarray, arrays: list[np.ndarray], names: list[str])
     return pa.RecordBatch.from_arrays([pa.array(buckets[cut[:-1]].astype(np.int32), pa.int32()), *columns], names=["bucket", *names])
 
 
-def joined(batches, names: list[str], kinds: list) -> list[np.ndarray]:
-    """All rows' arrays of a partition, end to end."""
-    parts: list[list[bytes]] = [[] for _ in names]
+def dealt(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """Rows that `bucket_rows` made, each bucket's next to each other in one partition; sorted by the engine, which spills."""
+    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+
+
+def each_bucket(batches, names: list[str], kinds: list):
+    """(bucket, its arrays end to end) of each bucket of rows that `dealt` gave; no more than one bucket is held."""
+    now, parts = None, [[] for _ in names]
     for b in batches:
-        for p, n in zip(parts, names):
-            p.extend(b.column(n).to_pylist())
-    return [np.frombuffer(b"".join(p), dtype=k) for p, k in zip(parts, kinds)]
+        columns = [b.column(n).to_pylist() for n in names]
+        for i, k in enumerate(b.column("bucket").to_pylist()):
+            if k != now:
+                if now is not None:
+                    yield now, [np.frombuffer(b"".join(p), dtype=t) for p, t in zip(parts, kinds)]
+                now, parts = k, [[] for _ in names]
+            for p, c in zip(parts, columns):
+                p.append(c[i] or b"")
+    if now is not None:
+        yield now, [np.frombuffer(b"".join(p), dtype=t) for p, t in zip(parts, kinds)]
 
 
 def summed(rows: DataFrame, spark: SparkSession, size: int, dtype=np.int64) -> np.ndarray:

@@ -1,14 +1,19 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in built-in functions only.
 
-A sketch retains every shingle hash below a fixed fraction of the hash range (2 ** -SCALE_BITS),
-whatever the text's length. Sketches of the same fraction can be merged by union, and a small
-text's containment in a huge one is estimated from the hashes they share. A text with words of
-which no hash is below the fraction retains its smallest one, so that only a text without words
-has an empty sketch.
+A sketch retains every shingle hash below a fixed fraction of the hash range (the first
+hexadecimal digit below THRESHOLD: an eighth), whatever the text's length, and in any case the
+LEAST smallest ones, so that a short text's sketch is its whole set. All that is below a
+sketch's `reach` is in it: two sketches are compared below the smaller of their reaches, where
+both are complete. So a contained text's containment is always 1, sets of fewer than LEAST shingles
+are compared exactly, and `merged` gives the sketch of the union itself.
+
+Hashes are the first 16 digits of MD5 as text, whose order is that of the numbers: any SQL
+engine can repeat them.
 
 Defined cases: a null text is empty; a text without words has the fingerprint '' and is alike
-(1.0) only to another such text; fewer than five words are one shingle; repeated hashes count
-once; rows with equal or null doc_id are each kept (null first, equal ids in the order of
+(1.0) only to another such text; fewer than five words are one shingle; repeated shingles count
+once; a containment for which no retained hash speaks is 1.0 (nothing speaks against it);
+rows with equal or null doc_id are each kept (null first, equal ids in the order of
 their texts); the document after the last is the first, a single document is its own next one.
 """
 
@@ -21,54 +26,77 @@ from pyspark.sql.window import Window
 from .columns import partitions
 
 WIDTH = 5
-SCALE_BITS = 3
+LEAST = 16
+THRESHOLD = "2"
+_ALL = "~"  # greater than every hash
 _SPACES = r"[ \t\n\x0B\f\r]+"
 
 
-def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), _SPACES), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), _SPACES), lambda w: w != "")
+
+
+def _hash(text: Column) -> Column:
+    return F.substring(F.md5(text), 1, 16)
+
+
+def shingles(words: Column) -> Column:
+    """The hash of each run of five words; of all words if there are fewer."""
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: _hash(F.concat_ws(" ", *[F.get(words, i + k) for k in range(WIDTH)])))
+    return F.when(n >= WIDTH, runs).when(n > 0, F.array(_hash(F.array_join(words, " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def shingles(hashes: Column) -> Column:
-    """61-bit values in a row: the hash of each run of five words, shifted to be non-negative."""
-    n = F.size(hashes)
-    runs = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(hashes, i + k) for k in range(WIDTH)]), 3))
-    return F.when(n >= WIDTH, runs).when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(hashes), 3))).otherwise(F.array().cast("array<bigint>"))
+def _retained(values: Column, low: Column) -> Column:
+    return F.when(F.size(low) >= LEAST, F.array_sort(low)).otherwise(F.slice(F.array_sort(F.array_distinct(values)), 1, LEAST))
 
 
 def retained(values: Column) -> Column:
-    """The sorted sketch of shingle values."""
-    low = F.filter(values, lambda h: h < F.lit(1 << (61 - SCALE_BITS)))
-    return F.when((F.size(low) == 0) & (F.size(values) > 0), F.array(F.array_min(values))).otherwise(F.array_sort(F.array_distinct(low)))
+    """The sorted sketch of shingle hashes."""
+    return _retained(values, F.array_distinct(F.filter(values, lambda h: h < THRESHOLD)))
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """`df` with the sketch of a text column (array<bigint>) under `name`."""
-    steps = df.withColumn(f"{name}_w", word_hashes(F.coalesce(F.col(text), F.lit(""))))
+    """`df` with the sketch of a text column (array<string>) under `name`."""
+    steps = df.withColumn(f"{name}_w", words_of(F.coalesce(F.col(text), F.lit(""))))
     steps = steps.withColumn(f"{name}_w", shingles(F.col(f"{name}_w")))
-    return steps.withColumn(name, retained(F.col(f"{name}_w"))).drop(f"{name}_w")
+    steps = steps.withColumn(f"{name}_l", F.array_distinct(F.filter(f"{name}_w", lambda h: h < THRESHOLD)))
+    return steps.withColumn(name, _retained(F.col(f"{name}_w"), F.col(f"{name}_l"))).drop(f"{name}_w", f"{name}_l")
 
 
 def fingerprint(sketch: Column) -> Column:
     """The sketch as text: 16 hexadecimal digits a hash, in ascending order."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    return F.array_join(sketch, "")
+
+
+def reach(sketch: Column) -> Column:
+    """Up to where a sketch holds every hash of its text."""
+    last = F.element_at(sketch, -1)
+    return F.when(F.size(sketch) < LEAST, F.lit(_ALL)).otherwise(F.greatest(F.lit(THRESHOLD), last))
+
+
+def _part(a: Column, b: Column, whole) -> Column:
+    """Of the hashes that `whole` gives of both sketches within their common reach, the share that both have; 1 if there are none."""
+    # A variable of a lambda is worked out once, not for each hash.
+    count = lambda hashes, limit: F.size(F.filter(hashes, lambda h: h <= limit))
+    found = F.transform(F.array(F.least(reach(a), reach(b))), lambda limit: F.struct(count(F.array_intersect(a, b), limit).alias("both"), count(whole(a, b), limit).alias("of")))
+    found = F.transform(found, lambda x: F.when(x["of"] == 0, F.lit(1.0)).otherwise(x["both"] / x["of"]))
+    return F.element_at(found, 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two sketches."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return _part(a, b, F.array_union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a is empty."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that b has."""
+    return _part(a, b, lambda x, _: x)
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of both documents together."""
-    return F.array_sort(F.array_union(a, b))
+    return retained(F.array_union(a, b))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,7 +12,6 @@ but a column named lang_pred or score gives way to the result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 from . import columns as C
 
 WIDTHS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
 _SALT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -78,7 +76,7 @@ def train(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5) -> La
 
 def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
     """Predicted languages and their posterior probabilities."""
-    known = np.array([bool(t and _LETTER.search(t)) for t in texts])
+    known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], dtype=bool)
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts))
     total = np.tile(model.log_prior, (len(texts), 1))

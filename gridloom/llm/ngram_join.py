@@ -127,20 +127,18 @@ def _shared(docs: DataFrame, counts, percent: int) -> DataFrame:
             yield rows(tokens, sids, at)
 
     def meet(batches):
-        tokens, sids, at = C.joined(batches, ["tokens", "sids", "at"], [np.uint64, np.int64, np.int32])
-        if not len(tokens):
-            return
-        tokens, sids, at = distinct(tokens, sids, at)
-        same = tokens[1:] == tokens[:-1]
-        live = np.zeros(len(tokens), dtype=bool)
-        live[1:] |= same
-        live[:-1] |= same
-        columns = tokens[live].view(np.int64), sids[live], at[live]
-        for i in range(0, len(columns[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["token", "sid", "at"])
+        for _, (tokens, sids, at) in C.each_bucket(batches, ["tokens", "sids", "at"], [np.uint64, np.int64, np.int32]):
+            tokens, sids, at = distinct(tokens, sids, at)
+            same = tokens[1:] == tokens[:-1]
+            live = np.zeros(len(tokens), dtype=bool)
+            live[1:] |= same
+            live[:-1] |= same
+            columns = tokens[live].view(np.int64), sids[live], at[live]
+            for i in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["token", "sid", "at"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, tokens binary, sids binary, at binary")
-    return dealt.repartition(C.partitions(spark), "bucket").mapInArrow(meet, "token bigint, sid bigint, at int")
+    return C.dealt(dealt, spark).mapInArrow(meet, "token bigint, sid bigint, at int")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, counts) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Features are densities of lexicon words (a fixed list of insults, and terms learned from the
 labelled rows), their closeness to second-person words, capitals, punctuation and
-obfuscation (insults that show only once punctuation is dropped or digits are read as
-letters). A batch's words are hashes, so a lexicon look-up is one binary search for all.
+obfuscation (insults that show only once punctuation inside them is dropped or digits are
+read as letters). A batch's words are hashes, so a lexicon look-up is one binary search for all.
 
 Training uses the labelled rows, at most `max_rows` of them by hash of the id. A third of
 them each teaches the learned terms, the trees and the calibration, so that no part judges
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columns as C
+from .storage import kept
 
 # Insults and second-person words in the corpus's languages.
 INSULTS = """idiot idiots stupid moron morons scum trash loser losers clown clowns disgusting pathetic worthless
@@ -166,6 +167,16 @@ def _plain_words(data, offsets, table):
     return C.prefix_sums(kept), starts, ends, at
 
 
+def _bare(data, starts, ends):
+    """The words' spans without the punctuation before and behind them."""
+    at = np.arange(len(data))
+    word = ~_IS_PUNCTUATION[data]
+    first = np.minimum.accumulate(np.where(word, at, len(data))[::-1])[::-1]
+    last = np.maximum.accumulate(np.where(word, at, -1))
+    starts, ends = first[starts], last[ends - 1] + 1
+    return np.minimum(starts, ends), ends
+
+
 def terms_of(batch):
     """Hashes of the words and word beginnings of each text, and the number of each."""
     data, offsets = C.text_bytes(batch.column("text"))
@@ -208,7 +219,7 @@ def features(batch, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     sums2, starts2, ends2, at2 = _plain_words(data, offsets, _LEET)
     leet = _is_in(_INSULTS, C.span_hashes(sums2, starts2, ends2))
     raw_starts, raw_ends, raw_at = C.word_spans(data, offsets, C.NOT_SPACE)
-    raw = _is_in(_INSULTS, C.span_hashes(C.prefix_sums(C.LOWER[data]), raw_starts, raw_ends)) if len(data) else np.zeros(0, bool)
+    raw = _is_in(_INSULTS, C.span_hashes(C.prefix_sums(C.LOWER[data]), *_bare(data, raw_starts, raw_ends))) if len(data) else np.zeros(0, bool)
     leet_n = np.bincount(np.repeat(np.arange(n), np.diff(at2)), weights=leet, minlength=n)
     raw_n = np.bincount(np.repeat(np.arange(n), np.diff(raw_at)), weights=raw, minlength=n)
     bad = insult | (best > 0)
@@ -231,8 +242,8 @@ def _shouted(data, starts, ends):
     return (upper[ends] - upper[starts] >= 3) & (lower[ends] == lower[starts])
 
 
-def _learn_terms(rows: DataFrame, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms whose texts are toxic far more often than others, with smoothed log odds; `most` at most."""
+def _learn_terms(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms whose texts are toxic far more often than others, with smoothed log odds; as many as the bounded rows have."""
     spark = rows.sparkSession
     buckets = 8 * C.partitions(spark)
     step = np.uint64((1 << 64) // buckets + 1)
@@ -255,8 +266,7 @@ def _learn_terms(rows: DataFrame, most: int, least: int) -> tuple[np.ndarray, np
             yield C.bucket_rows((h // step).astype(np.int64), [h, positive, all_.astype(np.int64)], ["term", "positive", "n"])
 
     def meet(batches):
-        h, positive, n = C.joined(batches, ["term", "positive", "n"], [np.uint64, np.int64, np.int64])
-        if len(h):
+        for _, (h, positive, n) in C.each_bucket(batches, ["term", "positive", "n"], [np.uint64, np.int64, np.int64]):
             h, place = np.unique(h, return_inverse=True)
             positive, n = np.bincount(place, weights=positive), np.bincount(place, weights=n)
             keep = positive >= least
@@ -266,15 +276,15 @@ def _learn_terms(rows: DataFrame, most: int, least: int) -> tuple[np.ndarray, np
     bad, good = float(totals[0] or 0), float(totals[1] - (totals[0] or 0))
     if not bad or not good:
         return np.zeros(0, np.uint64), np.zeros(0)
-    counted = rows.select("text", "toxic").mapInArrow(deal, "bucket int, term binary, positive binary, n binary").repartition(C.partitions(spark), "bucket").mapInArrow(meet, "term bigint, positive double, n double")
+    counted = C.dealt(rows.select("text", "toxic").mapInArrow(deal, "bucket int, term binary, positive binary, n binary"), spark).mapInArrow(meet, "term bigint, positive double, n double")
     odds = F.log(((F.col("positive") + 0.25) / F.lit(bad)) / ((F.col("n") - F.col("positive") + 0.25) / F.lit(good)))
-    top = counted.withColumn("odds", odds).filter("odds > 2.5").orderBy(F.desc(F.col("odds") * F.least(F.col("positive") / 10, F.lit(1.0))), "term").limit(most).toArrow()
+    top = counted.withColumn("odds", odds).filter("odds > 2.5").select("term", "odds").toArrow()
     terms, weights = top.column("term").to_numpy().astype(np.int64).view(np.uint64), top.column("odds").to_numpy()
     order = np.argsort(terms)
     return terms[order], weights[order]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4096, least: int = 3) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least: int = 3) -> ToxicityModel:
     """Fit on the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic 0/1) has; of these `max_rows` at most, by hash of the id.
 
     A document that is labelled twice counts as toxic if either label says so. The rows are chosen by id alone, and
@@ -283,10 +293,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
     spark = docs.sparkSession
     C.session_limits(spark)
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = kept(marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
-    terms, weights = _learn_terms(rows.filter(part == 0), max_terms, least)
+    terms, weights = _learn_terms(rows.filter(part == 0), least)
     shared = spark.sparkContext.broadcast((terms, weights))
 
     def describe(batches):
