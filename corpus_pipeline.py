@@ -55,7 +55,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates."""
     own, back = _aside(docs, "n_entities")
-    return _measured(replace(own).select(own.columns)).withColumnsRenamed(back)
+    return _measured(replace(own, Q.pii_key(spark)).select(own.columns)).withColumnsRenamed(back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
