@@ -420,8 +420,9 @@ def test_components(spark):
 # 8 ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_contamination_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,block", [(1, 1 << 22), (2, 30)])
+def test_contamination_equals_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     rng = random.Random(seed)
     words = ["aa", "bb", "cc", "dé", "7"]
     items = [(i, prose(rng, rng.choice([0, 2, 4, 12, 15]), words)) for i in range(9)] + [(3, "zz yy xx"), (10, None)]
@@ -441,10 +442,26 @@ def test_index_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
     items = spark.createDataFrame([(i, f"p{i} q{i} r{i}") for i in range(8)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "x p3 q3 r3 y p7 q7 r7")], "doc_id bigint, text string")
+    assert decontaminate.decontaminate(docs, items).first()["text"] == "x  y "
     r = decontaminate.contamination(docs, items).first()
     assert (r["n_hit"], r["items"], [(s["from"], s["to"]) for s in r["spans"]]) == (6, ["3", "7"], [(2, 10), (13, 21)])
 
 
+def test_shards_of_any_size(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(18)
+    words = ["aa", "bb", "cc"]
+    items = [(str(i), prose(rng, 6, words)) for i in range(5)]
+    texts = [prose(rng, rng.randint(0, 50), [*words, "x"]) for _ in range(30)] + [None, ""]
+    phrases = decontaminate.phrases_of([(k, decontaminate._words(pa.RecordBatch.from_pydict({"text": [t]}))[0]) for k, t in items], 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array([t], pa.string())], names=["text"]) for t in texts]
+    for size in (1, 300, 1 << 24):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        got = [(int(n[0]), len(f[0][0]) if f else 0, f[0][3] if f else []) for _, n, f in decontaminate._shards(batches, phrases)]
+        assert got == [brute.contamination(t, items, 4) for t in texts]
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(8)
     s = rng.integers(0, 11, 300)
