@@ -50,6 +50,12 @@ PIECES = T.StructType(
         T.StructField("ids", T.BinaryType()),
     ]
 )
+#: Texts by which a rank file is held against the tokenizers file when it is loaded.
+PROBES = ["The quick brown foxes' 12345 jumps!", "  spaced\tand\r\n\nlined  ", "naïve Straße ﬁn de siècle 漢字かな 😀👍🏽", "x = y[0] += 1; // don't", "é\u0301\u200d\u0000\ufffd"]
+#: Numbers among which rows of one task are spread, so that rows with one id don't stay together.
+SPREAD = 1 << 16
+#: Parts whose running sums are made in one window.
+SPAN = 1 << 12
 _loaded: dict = {}
 
 
@@ -76,11 +82,13 @@ class ByteBpe:
             with open(beside, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            if any(self.ranks.encode_ordinary(t) != self.full.encode(t, add_special_tokens=False).ids for t in PROBES):
+                self.ranks = None
 
     def encode(self, text: str) -> list[int]:
         if self.ranks is None or any(s in text for s in self.special):
             return self.full.encode(text, add_special_tokens=False).ids
-        return self.ranks._core_bpe.encode_ordinary(text)
+        return self.ranks.encode_ordinary(text)
 
 
 def _encoder(path: str) -> ByteBpe:
@@ -90,13 +98,14 @@ def _encoder(path: str) -> ByteBpe:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, source, n_tokens and ids (little-endian 16 bits if the vocabulary allows, else 32; `wide` tells)."""
+    """doc_id, source, spread (a number that differs among a task's rows), n_tokens and ids (little-endian 16 bits if the vocabulary allows, else 32; `wide` tells)."""
     C.session_limits(docs.sparkSession)
 
     def run(batches):
         e = _encoder(path)
         wide = max(e.full.get_vocab_size(), end_id + 1) > 1 << 16
         kind = np.dtype("<u4" if wide else "<u2")
+        seen = 0
         for b in C.slices(batches):
             ids, sizes = [], []
             for t in b.column("text").to_pylist():
@@ -105,9 +114,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 sizes.append(len(own))
                 ids.append(np.array(own, dtype=kind).tobytes())
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), pa.array([wide] * n, pa.bool_()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n_tokens", "wide", "ids"])
+            spread = np.arange(seen, seen + n, dtype=np.int32) % SPREAD
+            seen += n
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(spread), pa.array(sizes, pa.int64()), pa.array([wide] * n, pa.bool_()), pa.array(ids, pa.binary())], names=["doc_id", "source", "spread", "n_tokens", "wide", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, wide boolean, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, source string, spread int, n_tokens bigint, wide boolean, ids binary")
 
 
 def _fill(sources, docs_of, share, carry, window, least):
@@ -146,13 +157,29 @@ def _fill(sources, docs_of, share, carry, window, least):
         w += 1
 
 
+def _before(rows: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """`rows` with running sums of columns over the parts before, by key; first within spans of parts, then over the spans' sums,
+    so that no window has more rows than a span or than there are spans."""
+    spanned = rows.withColumn("_span", F.floor(F.col("part") / F.lit(SPAN)))
+    back = Window.unboundedPreceding, -1
+    of_span = spanned.groupBy(*keys, "_span").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    over_spans = Window.partitionBy(*keys).orderBy("_span").rowsBetween(*back)
+    of_span = of_span.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_span").alias("_at"), *[F.coalesce(F.sum(f"_{n}").over(over_spans), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = Window.partitionBy(*keys, "_span").orderBy("part").rowsBetween(*back)
+    same = F.col("_span") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    out = spanned.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()]).join(of_span, same)
+    return out.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, least: int = 128, part_tokens: int = 1 << 20, targets: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece (PIECES). `targets` are token shares by source; by default those of the corpus."""
     spark = docs.sparkSession
     tokens = kept(tokenize(docs, path, end_id))
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-total // part_tokens))
-    part = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", "n_tokens", "spread"), F.lit(parts)).cast("int")
     tokens = tokens.withColumn("part", part)
 
     # By part and source: the supply; the target share; what the parts before carry over.
@@ -162,13 +189,11 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, least:
         wanted = F.create_map(*[x for s, v in targets.items() for x in (F.lit(s), F.lit(float(v)))]) if targets else F.create_map().cast("map<string,double>")
         shares = shares.select("source", F.coalesce(wanted[F.col("source")], F.lit(0.0)).alias("share"))
     # Running sums have a row per part, or per part and source that it holds, never per document.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    of_part = supply.groupBy("part").agg(F.sum("own").alias("part_total"))
-    of_part = of_part.select("part", F.coalesce(F.sum("part_total").over(earlier), F.lit(0)).alias("total_before"), F.coalesce(F.sum(F.ceil(F.col("part_total") / F.lit(window))).over(earlier), F.lit(0)).alias("first"))
-    own_before = F.coalesce(F.sum("own").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_part = supply.groupBy("part").agg(F.sum("own").alias("part_total")).withColumn("windows", F.ceil(F.col("part_total") / F.lit(window)))
+    of_part = _before(of_part, [], {"total_before": "part_total", "first": "windows"}).select("part", "total_before", "first")
     shares = shares.withColumnRenamed("source", "of")
     plan = (
-        supply.withColumn("own_before", own_before)
+        _before(supply, ["source"], {"own_before": "own"})
         .join(of_part, "part")
         .join(shares, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("carry", F.col("share") * F.col("total_before") - F.col("own_before"))

@@ -19,8 +19,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import columns as C
 
@@ -157,6 +158,13 @@ class PrefixCounter:
             total += own[-1]
         return "".join(units), np.array(counts, dtype=np.int64)
 
+    def at_every_unit(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The units and the token count of the text up to the end of each, from 0 on."""
+        units = self.units_of(text)
+        counts = np.zeros(len(units) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(self.units.__getitem__, units), dtype=np.int64, count=len(units)), out=counts[1:])
+        return units, counts
+
     def fit(self, text: str, budget: int) -> int:
         """Length of the longest normalized prefix whose count, and that of every shorter one, keeps within `budget`."""
         _, counts = self.at_every_prefix(text)
@@ -171,31 +179,55 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, path: str, budget: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (the length of the normalized prefix within the budget) of each text."""
+    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (the length of the normalized prefix within the budget) of each text.
+
+    All are read off the counts at the ends of a text's units and, where the budget ends, at every prefix of one.
+    """
     C.session_limits(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean").add("fit_chars", "long")
 
     def run(batches):
         c = counter(path)
         for b in C.slices(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            counts = [c.count(t) for t in texts]
-            fits = [None if n <= budget else _cut(c, t, budget) for n, t in zip(counts, texts)]
+            counts, fits = [], []
+            for t in b.column("text").to_pylist():
+                units, at = c.at_every_unit(t or "")
+                counts.append(int(at[-1]))
+                fits.append(None if at[-1] <= budget else _cut(c, units, at, budget))
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(counts, pa.int64()), pa.array([n > budget for n in counts], pa.bool_()), pa.array(fits, pa.int64())], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _cut(c: PrefixCounter, text: str, budget: int) -> int:
-    """As `fit`, with prefix counts only in the unit where the budget ends."""
-    total = length = 0
-    for u in c.units_of(text):
-        n = c.units[u]
-        if total + n > budget or len(u) > KEPT_LENGTH:
+def _cut(c: PrefixCounter, units: list[str], at: np.ndarray, budget: int) -> int:
+    """As `fit`, with the counts at every prefix of the units up to where one goes beyond the budget."""
+    length = 0
+    for u, total in zip(units, at.tolist()):
+        if total + len(u.encode("utf-8", "surrogatepass")) > budget:  # no prefix has more tokens than bytes
             own = np.maximum.accumulate(c.prefixes(u))
             k = bisect.bisect_right(own, budget - total)
             if k < len(u):
                 return length + k
-        total, length = total + n, length + len(u)
+        length += len(u)
     return length
+
+
+def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and counts: the token count of every prefix of each normalized text, from that of length 0 on. `within` answers from it."""
+    C.session_limits(docs.sparkSession)
+    schema = docs.select("doc_id").schema.add("counts", T.ArrayType(T.IntegerType()))
+
+    def run(batches):
+        c = counter(path)
+        for b in C.slices(batches):
+            counts = [c.at_every_prefix(t or "")[1].astype(np.int32) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.list_(pa.int32()))], names=schema.names)
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def within(counts: Column, budget: int | Column) -> Column:
+    """Length of the longest prefix whose count, and that of every shorter one, keeps within a budget, from stored prefix counts."""
+    over = F.array_position(F.transform(counts, lambda n: n > budget), F.lit(True))
+    return (F.when(over > 0, over - 2).otherwise(F.size(counts) - 1)).cast("long")

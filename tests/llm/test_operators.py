@@ -323,6 +323,26 @@ def test_packing_keeps_to_the_mixture(spark):
     assert all(abs(x - 0.25) < 0.1 for x in full[:-2]) and abs(sum(full) / len(full) - 0.25) < 0.02
 
 
+def test_packing_to_given_targets_and_equal_ids(spark):
+    docs = spark.createDataFrame([(i, "the thing of " * 200, "ab"[i % 2]) for i in range(80)], "doc_id bigint, text string, source string")
+    share: dict = {}
+    for r in packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), with_ids=False, targets={"a": 0.25, "b": 0.75}).collect():
+        share.setdefault(r["sequence_id"], {"a": 0, "b": 0})[r["source"]] += r["length"]
+    # As long as both have tokens left, every window has the target mixture.
+    mixed = [x["b"] / 2048 for k, x in sorted(share.items()) if sum(x.values()) == 2048][: len(share) // 2]
+    assert all(abs(x - 0.75) < 0.1 for x in mixed) and abs(sum(mixed) / len(mixed) - 0.75) < 0.02
+    same = spark.createDataFrame([(None, "", "a")] * 3000, "doc_id bigint, text string, source string").repartition(3)
+    rows = packing.pack(same, queries.vocabulary("byte_bpe_50k.json"), part_tokens=500)
+    assert rows.count() == 3000 and rows.select("sequence_id").distinct().count() == 6
+
+
+def test_running_sums_by_span(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPAN", 3)
+    rows = spark.createDataFrame([(p, s, p + 1) for p in range(11) for s in ("a", None) if (p, s) != (4, "a")], "part int, source string, own long")
+    got = {(r["part"], r["source"]): r["x"] for r in packing._before(rows, ["source"], {"x": "own"}).collect()}
+    assert got == {(p, s): sum(q + 1 for q in range(p) if (q, s) != (4, "a")) for p, s in got} and len(got) == 21
+
+
 # 6 ------------------------------------------------------------------------------------------------------------
 
 
@@ -494,6 +514,9 @@ def test_token_counts_equal_the_library(spark):
         row = got[texts.index(t)]
         assert row["fit_chars"] is None or row["fit_chars"] == at
     assert token_counts.count_tokens(empty(spark), path).count() == 0
+    stored = token_counts.prefix_counts(frame(spark, texts[:80]), path)
+    for r in stored.select("doc_id", "counts", token_counts.within(F.col("counts"), 20).alias("fit")).collect():
+        assert r["counts"][-1] == got[r["doc_id"]]["n_tokens"] and r["fit"] == counter.fit(texts[r["doc_id"]], 20)
 
 
 # 10 -----------------------------------------------------------------------------------------------------------
