@@ -24,23 +24,23 @@ def grid(spark: SparkSession) -> DataFrame:
 
 
 def parse_key(text: Column) -> Column:
-    """A struct (shard_id, x, y, error) of a routing key `<shard>/<x>,<y>`; spaces around the parts don't count.
+    """A struct (shard_id, x, y, error) of a routing key `<shard>/<x>,<y>`; white space around the parts doesn't count, a plus sign before a number is allowed.
 
-    The error is null, or the first of: missing_slash, bad_shard, missing_comma, bad_coordinate, off_grid.
+    The error is null, or the first of: missing_slash, missing_comma, bad_shard, bad_x, bad_y, off_grid. Shard numbers go up to 2^63 - 1.
     """
-    trimmed = F.trim(text)
-    shard = F.trim(F.substring_index(trimmed, "/", 1))
-    cell = F.regexp_extract(trimmed, r"^[^/]*/(.*)$", 1)
-    left, right = F.trim(F.substring_index(cell, ",", 1)), F.trim(F.regexp_extract(cell, r"^[^,]*,(.*)$", 1))
-    shard_id = F.when(shard.rlike("^[0-9]+$"), shard.try_cast("bigint"))
-    byte = lambda part: F.when(part.rlike("^[0-9]+$"), part.try_cast("int"))
-    x, y = byte(left), byte(right)
-    bad = x.isNull() | y.isNull() | (x > 255) | (y > 255)
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    shard = strip(F.substring_index(text, "/", 1))
+    cell = F.regexp_extract(text, r"(?s)^[^/]*/(.*)$", 1)
+    left, right = strip(F.substring_index(cell, ",", 1)), strip(F.regexp_extract(cell, r"(?s)^[^,]*,(.*)$", 1))
+    number = lambda part, kind: F.when(part.rlike(r"^\+?[0-9]+\z"), F.regexp_replace(part, r"^\+", "").try_cast(kind))
+    byte = lambda part: F.when(number(part, "bigint") <= 255, number(part, "int"))
+    shard_id, x, y = number(shard, "bigint"), byte(left), byte(right)
     error = (
-        F.when(text.isNull() | ~trimmed.contains("/"), "missing_slash")
-        .when(shard_id.isNull(), "bad_shard")
+        F.when(text.isNull() | ~text.contains("/"), "missing_slash")
         .when(~cell.contains(","), "missing_comma")
-        .when(bad, "bad_coordinate")
+        .when(shard_id.isNull(), "bad_shard")
+        .when(x.isNull(), "bad_x")
+        .when(y.isNull(), "bad_y")
         .when(~on_grid(x, y), "off_grid")
     )
     keep = lambda c: F.when(error.isNull(), c)

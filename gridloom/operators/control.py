@@ -30,11 +30,11 @@ def validate(decisions: DataFrame, placements: DataFrame, fleet: DataFrame, acti
     active: shard_id, x, y (null: the whole shard), node_id of each action under way.
     """
     held = placements.select("shard_id", "x", "y", F.col("node_id").alias("source_node"))
-    load = F.broadcast(active.groupBy("node_id").agg(F.count("*").alias("load")))
-    cells = F.broadcast(active.filter("x is not null").select("shard_id", "x", "y").distinct().withColumn("cell_busy", F.lit(True)))
-    shards = F.broadcast(active.filter("x is null").select("shard_id").distinct().withColumn("shard_busy", F.lit(True)))
-    count = F.broadcast(active.agg(F.count("*").alias("in_flight")))
-    target = F.broadcast(fleet.select(F.col("node_id").alias("target_node"), F.col("condition").alias("target_condition"), F.col("is_full").alias("target_full"), F.col("utilization").alias("target_utilization")))
+    load = active.groupBy("node_id").agg(F.count("*").alias("load"))
+    cells = active.filter("x is not null").select("shard_id", "x", "y").distinct().withColumn("cell_busy", F.lit(True))
+    shards = active.filter("x is null").select("shard_id").distinct().withColumn("shard_busy", F.lit(True))
+    count = active.agg(F.count("*").alias("in_flight"))
+    target = fleet.select(F.col("node_id").alias("target_node"), F.col("condition").alias("target_condition"), F.col("is_full").alias("target_full"), F.col("utilization").alias("target_utilization"))
     rows = (
         decisions.join(held, ["shard_id", "x", "y"], "left").join(cells, ["shard_id", "x", "y"], "left").join(shards, "shard_id", "left").join(count)
         .join(load.select(F.col("node_id").alias("source_node"), F.col("load").alias("source_load")), "source_node", "left")
@@ -125,7 +125,7 @@ def check_plan(plans: DataFrame, healthy: DataFrame, floor: int = 1) -> DataFram
 
     The projected holders are a set: those held and added, without those removed.
     """
-    able = F.broadcast(healthy.agg(F.collect_set("node_id").alias("able")))
+    able = healthy.agg(F.collect_set("node_id").alias("able"))
     after = F.array_except(F.array_union("holders", "adds"), F.col("removes"))
     problem = (
         F.when((F.size("adds") == 0) & (F.size("removes") == 0), "empty_plan")

@@ -41,7 +41,7 @@ def best_destinations(fleet: DataFrame) -> DataFrame:
     ranked = able.withColumn("of_region", F.row_number().over(Window.partitionBy("region").orderBy(*order))).filter("of_region <= 2")
     key = F.struct(F.col("utilization"), F.col("hosted"), F.col("node_id"), F.col("region"))
     list_ = ranked.agg(F.sort_array(F.collect_list(key)).alias("options"))
-    sources = fleet.select("node_id", "region").join(F.broadcast(list_))
+    sources = fleet.select("node_id", "region").join(list_)
     other = F.filter("options", lambda o: o["node_id"] != F.col("node_id"))
     far = F.filter(other, lambda o: o["region"] != F.col("region"))
     nearest = F.try_element_at(other, F.lit(1))["node_id"]
@@ -51,7 +51,7 @@ def best_destinations(fleet: DataFrame) -> DataFrame:
 def destination_ranking(fleet: DataFrame) -> DataFrame:
     """All destinations of each source in order, away from its region first."""
     able = candidates(fleet).select(F.col("node_id").alias("destination"), F.col("region").alias("to_region"), "utilization", "hosted")
-    pairs = fleet.select(F.col("node_id").alias("source"), "region").join(F.broadcast(able), F.col("source") != F.col("destination"))
+    pairs = fleet.select(F.col("node_id").alias("source"), "region").join(able, F.col("source") != F.col("destination"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy((F.col("to_region") == F.col("region")).cast("int"), "utilization", "hosted", "destination"))
     return pairs.select("source", "destination", rank.cast("bigint").alias("rank"))
 
@@ -59,7 +59,7 @@ def destination_ranking(fleet: DataFrame) -> DataFrame:
 def decisions(predicted: DataFrame, placements: DataFrame, fleet: DataFrame) -> DataFrame:
     """What to do about each predicted profile: action, target_node, expected_gain, estimated_cost, confidence, score, executable."""
     best = best_destinations(fleet)
-    where = placements.select("shard_id", "x", "y", F.col("node_id").alias("held_by")).join(F.broadcast(best.withColumnRenamed("node_id", "held_by")), "held_by", "left")
+    where = placements.select("shard_id", "x", "y", F.col("node_id").alias("held_by")).join(best.withColumnRenamed("node_id", "held_by"), "held_by", "left")
     rows = predicted.join(where, ["shard_id", "x", "y"], "left")
     p = F.col("probability")
     hot, placed = F.col("likely_hot"), F.col("held_by").isNotNull()

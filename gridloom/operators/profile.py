@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import grid
 from ..functions import scoring as S
@@ -46,3 +47,12 @@ def status_counts(placements: DataFrame, profiles: DataFrame, observations: Data
     """One row: placements, profiles, observations, hot."""
     counts = [placements.agg(F.count("*").alias("placements")), profiles.agg(F.count("*").alias("profiles"), F.count_if("is_hot").alias("hot")), observations.agg(F.count("*").alias("observations"))]
     return counts[0].join(counts[1]).join(counts[2])
+
+
+def recent(rows: DataFrame, keys: list[str], most: int = 1024) -> DataFrame:
+    """What a memory of the last rows (by seq) holds that drops its older half whenever it is full: by key, from how many have come."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    half = most // 2
+    held = F.when(n <= most, n).otherwise(most - half + (n - most - 1) % half + 1)
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))
+    return rows.withColumns({"_held": held, "_back": back}).filter("_back <= _held").drop("_held", "_back")

@@ -82,7 +82,7 @@ def placement_plan(replicas: DataFrame, candidates: DataFrame, factor: int, spre
             added.append(best["node_id"])
         return pd.DataFrame([(int(df["shard_id"].iloc[0]), added, short)], columns=["shard_id", "additions", "shortfall"])
 
-    return replicas.select("shard_id", "node_id", "region", "state").join(F.broadcast(able)).groupBy("shard_id").applyInPandas(run, schema)
+    return replicas.select("shard_id", "node_id", "region", "state").join(able).groupBy("shard_id").applyInPandas(run, schema)
 
 
 def fold_reports(replicas: DataFrame, reports: DataFrame) -> DataFrame:

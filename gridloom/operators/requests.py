@@ -145,13 +145,13 @@ def plan(requests: DataFrame, rules: DataFrame, owners: DataFrame) -> DataFrame:
     `owners` has shard_id and node_id. All keys of a request must lie on one node.
     """
     rows = classify(requests)
-    keys = keyspace.resolve(touched_keys(rows), rules).join(F.broadcast(owners), "shard_id", "left")
+    keys = keyspace.resolve(touched_keys(rows), rules).join(owners, "shard_id", "left")
     of = keys.groupBy("request_id").agg(
         F.min("problem").alias("problem"),
         F.max((F.col("problem").isNull() & F.col("miss").isNotNull()).cast("int")).alias("missed"),
         F.count_distinct("node_id").alias("nodes"), F.min("shard_id").alias("key_shard"), F.min("node_id").alias("key_node"), F.count("*").alias("keys"),
     )
-    spanning = F.broadcast(keyspace.spanning_key(rules).join(owners, F.col("spanning_key") == F.col("shard_id"), "left").select("spanning_key", F.col("node_id").alias("spanning_node")))
+    spanning = keyspace.spanning_key(rules).join(owners, F.col("spanning_key") == F.col("shard_id"), "left").select("spanning_key", F.col("node_id").alias("spanning_node"))
     out = rows.join(of, "request_id", "left").join(spanning)
     scope, no_keys = F.col("scope"), F.coalesce("keys", F.lit(0)) == 0
     whole = (scope == "spanning") | (no_keys & scope.isin("query_kind", "body_kind", "addresses", "operations"))

@@ -35,6 +35,30 @@ def checked(served: DataFrame, error: str = "error") -> DataFrame:
     return served.withColumn(error, F.when(F.col(error).isNotNull(), F.raise_error(F.concat(F.lit("routing: "), F.col(error)))))
 
 
+def published(topology: DataFrame, overrides: DataFrame, migrations: DataFrame) -> DataFrame:
+    """shard_id, x, y (null: the whole shard) and node_id: owners and overrides after migrations (shard_id, x, y, destination, phase, has_cut_over).
+
+    A migration that has ended after its cutover folds into the owner of what it moved: a shard's entry, or a cell's override.
+    Of several of one scope the one with the highest seq counts.
+    """
+    scope = ["shard_id", "x", "y"]
+    ended = migrations.filter(F.col("has_cut_over") & F.col("phase").isin("cleanup", "completed", "aborted", "failed"))
+    last = ended.groupBy(*scope).agg(F.max_by("destination", "seq").alias("moved_to"))
+    entry = topology.groupBy("shard_id").agg(F.min_by("node_id", "position").alias("node_id")).select("shard_id", F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"), "node_id")
+    held = entry.unionByName(overrides.select(*scope, "node_id"))
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"m.{c}")) for c in scope]
+    both = held.alias("h").join(last.alias("m"), same[0] & same[1] & same[2], "full_outer")
+    return both.select(*[F.coalesce(f"h.{c}", f"m.{c}").alias(c) for c in scope], F.coalesce("m.moved_to", "h.node_id").alias("node_id"))
+
+
+def scoped(cells: DataFrame, of_cell: DataFrame, of_shard: DataFrame, columns: list[str]) -> DataFrame:
+    """`cells` (shard_id, x, y) with `columns` of the cell's own replica sets or migrations, which win as a whole over the shard's; `cell_scope` tells which."""
+    own = of_cell.select("shard_id", "x", "y", F.lit(True).alias("cell_scope"), *columns)
+    rest = cells.join(of_cell.select("shard_id", "x", "y").distinct(), ["shard_id", "x", "y"], "left_anti")
+    by_shard = rest.join(of_shard.select("shard_id", F.lit(False).alias("cell_scope"), *columns), "shard_id", "left").select("shard_id", "x", "y", F.coalesce("cell_scope", F.lit(False)).alias("cell_scope"), *columns)
+    return cells.join(own, ["shard_id", "x", "y"]).select("shard_id", "x", "y", "cell_scope", *columns).unionByName(by_shard)
+
+
 def routable(availability: Column, require_proven_health: bool = False) -> Column:
     return F.when(availability == "serviceable", True).when(availability == "unreachable", False).otherwise(not require_proven_health)
 
@@ -61,12 +85,12 @@ def _order(first: Column, second: Column, node: Column) -> Column:
     return F.struct(first.alias("first"), second.alias("second"), node.alias("node")).alias("key")
 
 
-def read_candidates(entries: DataFrame, replicas: DataFrame, migrations: DataFrame, preference: str = "any_fresh", region: str | None = None) -> DataFrame:
-    """shard_id, rank, node_id, served_by of the nodes a read may go to, best first.
+def read_candidates(entries: DataFrame, replicas: DataFrame, migrations: DataFrame, preference: str = "any_fresh", region: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """shard_id, rank, node_id, served_by and error of the nodes a read may go to, best first; a shard of `entries` with none has one row with no_readable_replica.
 
     preference: primary, any_fresh, any_copy, or prefer_region (fresh ones, those of `region` first). Before a
     migration's cutover its destination serves no read; after it the source serves none and the destination is first
-    if it was no candidate yet.
+    if it was no candidate yet. Where a node lies is what `nodes` (node_id, region) say of it, needed for prefer_region only.
     """
     fresh = F.col("state") == "in_sync"
     readable = {"primary": fresh & (F.col("role") == "primary"), "any_copy": F.col("state").isin("in_sync", "lagging")}.get(preference, fresh)
@@ -82,18 +106,23 @@ def read_candidates(entries: DataFrame, replicas: DataFrame, migrations: DataFra
     extra = migrations.join(have, "shard_id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<string>")))
     front = extra.filter(F.col("has_cut_over") & ~F.array_contains("nodes", F.col("destination"))).select("shard_id", F.col("destination").alias("node_id"), F.lit("migration_destination").alias("served_by"))
     last = extra.filter(~F.col("has_cut_over") & (F.size("nodes") == 0)).select("shard_id", F.col("source").alias("node_id"), F.lit("migration_source").alias("served_by"))
-    added = front.union(last).select("shard_id", "node_id", F.lit(None).cast("string").alias("region"), "served_by", _order(F.lit(-1), F.lit(0), F.col("node_id")))
-    rows = stays.select("shard_id", "node_id", "region", "served_by", "key").unionByName(added)
-    near = (~F.coalesce(F.col("region") == region, F.lit(False))).cast("int") if preference == "prefer_region" else F.lit(0)
+    added = front.union(last).select("shard_id", "node_id", "served_by", _order(F.lit(-1), F.lit(0), F.col("node_id")))
+    rows = stays.select("shard_id", "node_id", "served_by", "key").unionByName(added)
+    near = F.lit(0)
+    if preference == "prefer_region":
+        rows = rows.join(nodes.select("node_id", F.col("region").alias("lies_in")), "node_id", "left")
+        near = (~F.coalesce(F.col("lies_in") == region, F.lit(False))).cast("int")
     rank = F.row_number().over(Window.partitionBy("shard_id").orderBy(near, "key")).cast("bigint")
-    return rows.select("shard_id", rank.alias("rank"), "node_id", "served_by")
+    ranked = rows.select("shard_id", rank.alias("rank"), "node_id", "served_by")
+    out = entries.select("shard_id").distinct().join(ranked, "shard_id", "left")
+    return out.withColumn("error", F.when(F.col("node_id").isNull(), "no_readable_replica"))
 
 
 def routes(candidates: DataFrame, nodes: DataFrame, require_proven_health: bool = False) -> DataFrame:
-    """Candidates with routable, and per shard the error if none is: unknown_node for a single one that the fleet lacks, else no_live_owner."""
+    """Candidates with routable, and per shard the error if none is: its own, unknown_node for a single one that the fleet lacks, else no_live_owner."""
     known = nodes.select("node_id", "availability", F.lit(True).alias("known"))
-    rows = candidates.join(F.broadcast(known), "node_id", "left").withColumn("routable", F.coalesce("known", F.lit(False)) & routable(F.col("availability"), require_proven_health))
+    rows = candidates.join(known, "node_id", "left").withColumn("routable", F.coalesce("known", F.lit(False)) & routable(F.col("availability"), require_proven_health))
     by = Window.partitionBy("shard_id")
     none = F.max(F.col("routable").cast("int")).over(by) == 0
     lone = (F.count("*").over(by) == 1) & F.col("known").isNull()
-    return rows.withColumn("error", F.when(none & lone, "unknown_node").when(none, "no_live_owner")).select("shard_id", "rank", "node_id", "served_by", "routable", "error")
+    return rows.withColumn("error", F.coalesce("error", F.when(none & lone, "unknown_node").when(none, "no_live_owner"))).select("shard_id", "rank", "node_id", "served_by", "routable", "error")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keyspace import resolve
+
 PAGE, MOST_PAGES, MOST_ADDRESSES = 500, 10_000, 1000
 _COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
@@ -100,71 +101,147 @@ def versions(log: DataFrame) -> DataFrame:
     return rows.withColumn("version", F.when(F.col("op") == "set", number)).withColumn("is_current", F.col("last") & (F.col("op") == "set")).drop("last")
 
 
+def _folded(rows: DataFrame, keys: list[str], order: list[str], run, schema: str) -> DataFrame:
+    """`run` over rows that come sorted, all of one key in a row: a key's state is all that a task holds, however many rows a key has."""
+    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+_ASKED = ["address", "seq", "field", "expect_le", "expect_eq", "expect_absent", "set", "data"]
+
+
 def set_if(nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Compare-and-set of one field: address, applied and the value after.
+    """Compare-and-set of one field of a node's data: address, seq, applied and the data after.
 
-    `requests` has seq, address, expect_le, expect_eq, expect_absent and new value `set`; each address's
-    requests are tried in order of seq against the value that the one before left.
+    `nodes` has address and data (JSON). `requests` has seq, address, field, one of expect_le (the field is a number and at most this),
+    expect_eq (it equals this JSON value) and expect_absent (it is unset or null), and `set`, a JSON object merged into the data if that holds.
+    Each address's requests are tried in order of seq against what the one before left.
     """
-    schema = "address string, seq bigint, applied boolean, value double"
+    state = nodes.select("address", F.lit(-1).cast("bigint").alias("seq"), *[F.lit(None).cast(t).alias(c) for c, t in (("field", "string"), ("expect_le", "double"), ("expect_eq", "string"), ("expect_absent", "boolean"), ("set", "string"))], F.col("data"))
+    rows = state.unionByName(requests.select(*_ASKED[:-1], F.lit(None).cast("string").alias("data")))
+
+    def run(batches):
+        now, held = None, {}
+        for b in batches:
+            out = []
+            for address, seq, field, le, eq, absent, new, data in zip(*[b[c].tolist() for c in _ASKED]):
+                if address != now:
+                    now, held = address, {}
+                if seq < 0:
+                    held = json.loads(data) if data else {}
+                    continue
+                value = held.get(field)
+                if absent is True:
+                    ok = value is None
+                elif isinstance(eq, str):
+                    ok = value == json.loads(eq)
+                else:
+                    ok = isinstance(value, (int, float)) and not isinstance(value, bool) and value <= le
+                if ok:
+                    held = {**held, **json.loads(new)}
+                out.append((address, seq, ok, json.dumps(held)))
+            yield pd.DataFrame(out, columns=["address", "seq", "applied", "data"])
+
+    return _folded(rows, ["address"], ["seq"], run, "address string, seq bigint, applied boolean, data string")
 
-    def run(key, state: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        value = None if state.empty or pd.isna(state["value"].iloc[0]) else float(state["value"].iloc[0])
-        out = []
-        for r in asked.sort_values("seq").itertuples():
-            ok = (value is None) if r.expect_absent else True
-            if not pd.isna(r.expect_eq):
-                ok = ok and value == r.expect_eq
-            if not pd.isna(r.expect_le):
-                ok = ok and value is not None and value <= r.expect_le
-            if ok:
-                value = float(r.set)
-            out.append((key[0], r.seq, bool(ok), value))
-        return pd.DataFrame(out, columns=["address", "seq", "applied", "value"])
 
-    return nodes.select("address", "value").groupBy("address").cogroup(requests.groupBy("address")).applyInPandas(run, schema)
+_OPERATION = ["scope", "tx_id", "position", "type", "address", "to", "expect_eq", "set"]
 
 
 def transactions(operations: DataFrame) -> DataFrame:
-    """tx_id and status (200 or 412) of batches of operations on independent groups of addresses.
+    """tx_id, status (200 or 412) and changed (what it wrote or deleted) of batches of operations on independent groups of addresses.
 
-    `operations` has scope (addresses that may meet share one), tx_id, position, type, address, expect_eq and set (JSON
-    merged into the node's data). Within a scope transactions run in order of tx_id; one whose precondition fails leaves
-    nothing behind.
+    `operations` has scope (addresses that may meet share one), tx_id, position, type, address, to (of edges), expect_eq and set (JSON
+    merged into the node's data). Types: create, insert_node, delete_node, set_if, claim, insert_edge, delete_edge (between nodes that exist) and clear_kind
+    (address names the kind). Within a scope transactions run in order of tx_id; one of which an operation fails leaves nothing behind.
     """
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        nodes: dict = {}
-        out = []
-        ordered = df.sort_values(["tx_id", "position"])[["tx_id", "type", "address", "expect_eq", "set"]]
-        for tx, ops in itertools.groupby(ordered.itertuples(index=False), key=lambda o: o.tx_id):
-            before: dict = {}  # what the transaction has changed, to be put back if it is refused
-            ok = True
-            for o in ops:
-                held = nodes.get(o.address)
-                fresh = json.loads(o.set) if o.set else {}
-                if o.type == "create":
-                    ok, new = held is None, fresh
-                elif o.type == "insert_node":
-                    new = fresh
-                elif o.type == "delete_node":
-                    ok, new = held is not None, None
-                elif o.type == "set_if":
-                    ok, new = held is not None and held == json.loads(o.expect_eq), {**(held or {}), **fresh}
-                elif o.type == "claim":
-                    ok, new = held is not None and "claimed_by" not in held, {**(held or {}), "claimed_by": o.set}
-                else:
-                    raise ValueError(f"unknown operation: {o.type}")
-                if not ok:
-                    break
-                before.setdefault(o.address, held)
-                nodes[o.address] = new
+    def apply(held: dict, o) -> dict | None:
+        """What an operation writes (null: deletes), or null if it fails."""
+        kind, address, to, expect, new = o
+        node = held.get(address)
+        fresh = json.loads(new) if isinstance(new, str) else {}
+        if kind == "create":
+            return {address: fresh} if node is None else None
+        if kind == "insert_node":
+            return {address: fresh}
+        if kind == "delete_node":
+            return {address: None} if node is not None else None
+        if kind == "set_if":
+            return {address: {**node, **fresh}} if node is not None and node == json.loads(expect) else None
+        if kind == "claim":
+            return {address: {**node, "claimed_by": fresh}} if node is not None and "claimed_by" not in node else None
+        if kind in ("insert_edge", "delete_edge"):
+            edge = (address, to)
+            there = node is not None and held.get(to) is not None if kind == "insert_edge" else held.get(edge) is not None
+            return {edge: {} if kind == "insert_edge" else None} if there else None
+        if kind == "clear_kind":
+            return {k: None for k, v in held.items() if v is not None and isinstance(k, str) and k.startswith(f"{address}:")}
+        raise ValueError(f"unknown operation: {kind}")
+
+    def run(batches):
+        scope, tx, nodes, before, ok = None, None, {}, {}, True
+        out: list = []
+
+        def end():
             if not ok:
                 nodes.update(before)
-            out.append((int(tx), 200 if ok else 412))
-        return pd.DataFrame(out, columns=["tx_id", "status"])
-
-    return operations.groupBy("scope").applyInPandas(run, "tx_id bigint, status int")
+            out.append((int(tx), 200 if ok else 412, len(before) if ok else 0))
+
+        for b in batches:
+            for s, t, _, *o in zip(*[b[c].tolist() for c in _OPERATION]):
+                if (s, t) != (scope, tx):
+                    if tx is not None:
+                        end()
+                    if s != scope:
+                        nodes = {}
+                    scope, tx, before, ok = s, t, {}, True
+                if ok:
+                    written = apply(nodes, o)
+                    ok = written is not None
+                    for k, v in (written or {}).items():
+                        before.setdefault(k, nodes.get(k))
+                        nodes[k] = v
+            yield pd.DataFrame(out, columns=["tx_id", "status", "changed"])
+            out = []
+        if tx is not None:
+            end()
+            yield pd.DataFrame(out, columns=["tx_id", "status", "changed"])
+
+    rows = operations if "to" in operations.columns else operations.withColumn("to", F.lit(None).cast("string"))
+    return _folded(rows.select(*_OPERATION), ["scope"], ["tx_id", "position"], run, "tx_id bigint, status int, changed bigint")
+
+
+def remove(nodes: DataFrame, edges: DataFrame, kind: str, predicate: Column | None = None, writer: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that are left when all nodes of a kind are deleted: those that `writer` owns, if one is named, and that a predicate fits, if there is one."""
+    gone = select(nodes, kind, writer, predicate).select("address").distinct()
+    left = nodes.join(gone, "address", "left_anti")
+    ends = [gone.select(F.col("address").alias(c)) for c in ("from", "to")]
+    return left, edges.join(ends[0], "from", "left_anti").join(ends[1], "to", "left_anti").select(edges.columns)
+
+
+def children(nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """owner and address of the nodes that each of `owners` (address) owns."""
+    return nodes.join(owners.select(F.col("address").alias("owner")).distinct(), "owner", "left_semi").select("owner", "address")
+
+
+def published(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Messages (seq, channel, payload) with the shard that their channel resolves to, or why it doesn't; subscribers get all shards' messages by seq."""
+    asked = messages.select("seq", "payload", F.col("channel").alias("address"), F.col("channel").alias("kind"))
+    return resolve(asked, rules).select("seq", F.col("address").alias("channel"), "payload", "shard_id", "miss")
+
+
+def declarations(listings: DataFrame, backends: int) -> DataFrame:
+    """Declared indexes or references (backend, name, definition): name, and whether all backends list the same."""
+    return listings.groupBy("name").agg((F.count_distinct("backend") == backends).alias("everywhere"), (F.count_distinct("definition") == 1).alias("alike"))
+
+
+def engine_stats(nodes: DataFrame, edges: DataFrame, log: DataFrame) -> DataFrame:
+    """One row of counters: node_count, edge_count, user_count, history_entries, reads_total, writes_total, kinds (kind and count, by kind)."""
+    kinds = kind_counts(nodes).agg(F.sort_array(F.collect_list(F.struct("kind", "count"))).alias("kinds"), F.sum("count").alias("node_count"))
+    users = nodes.agg(F.count_distinct("owner").alias("user_count"))
+    past = versions(log).agg(F.count_if((F.col("op") == "set") & ~F.col("is_current")).alias("history_entries"))
+    totals = log.agg(F.count_if(F.col("op") == "read").alias("reads_total"), F.count_if(F.col("op") != "read").alias("writes_total"))
+    return kinds.join(edges.agg(F.count("*").alias("edge_count"))).join(users).join(past).join(totals)
 
 
 def claims(requests: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ _ACTIVE = "active AS (SELECT * FROM (VALUES (0, 3, 0, 'NATION_0'), (1, 0, 0, 'NA
 
 def _asked(spark, sf_dir):
     """Each decision as asked for: its age, generation and who asked vary with its cell."""
-    rows = _decisions(spark, sf_dir).filter("likely_hot or seq % 10 = 0")
+    rows = _decisions(spark, sf_dir)
     now = F.lit(_NOW)
     return rows.select(
         "shard_id", "x", "y", "seq", "action", F.when(F.col("seq") % 29 == 0, "NOWHERE").otherwise(F.col("target_node")).alias("target_node"), "confidence", "score",
@@ -78,7 +78,7 @@ def _asked(spark, sf_dir):
 
 _ASKED = f"""asked AS (SELECT shard_id, x, y, seq, action, CASE WHEN seq % 29 = 0 THEN 'NOWHERE' ELSE target_node END AS target_node, confidence, score,
   {_NOW} - seq % 17000 + CASE WHEN seq % 31 = 0 THEN 20000 ELSE 0 END AS observed_at_ms, CASE WHEN seq % 23 = 0 THEN 6 ELSE 7 END AS generation, seq % 5 = 0 AS by_operator
-  FROM decisions WHERE likely_hot OR seq % 10 = 0)"""
+  FROM decisions)"""
 _VALID = f"""judged AS (SELECT a.shard_id, a.x, a.y, a.seq, a.action, CASE
   WHEN a.action = 'no_action' THEN 'no_action'
   WHEN NOT (a.x BETWEEN 0 AND 11 AND a.y BETWEEN 0 AND 12) THEN 'invalid_coordinate'
@@ -123,9 +123,9 @@ def admission_fold(spark, sf_dir):
     return control.admit(rows)
 
 
-@query(P.cells("days", "concluded AS (SELECT shard_id, x, y, seq AS concluded_at FROM cell_days WHERE seq % 7 = 0)") + "SELECT d.shard_id, d.x, d.y, d.seq FROM decisions d WHERE d.likely_hot AND NOT EXISTS (FROM (SELECT shard_id, x, y, max(concluded_at) AS at FROM concluded GROUP BY ALL) c WHERE c.shard_id = d.shard_id AND c.x = d.x AND c.y = d.y AND 100000 - c.at < 60000)")
+@query(P.cells("days", "concluded AS (SELECT shard_id, x, y, seq AS concluded_at FROM cell_days WHERE queue_depth > 0)") + "SELECT d.shard_id, d.x, d.y, d.seq FROM decisions d WHERE d.likely_hot AND NOT EXISTS (FROM (SELECT shard_id, x, y, max(concluded_at) AS at FROM concluded GROUP BY ALL) c WHERE c.shard_id = d.shard_id AND c.x = d.x AND c.y = d.y AND 100000 - c.at < 60000)")
 def cooldown_filter(spark, sf_dir):
-    concluded = T.cell_telemetry(spark, sf_dir).filter("seq % 7 = 0").select("shard_id", "x", "y", F.col("seq").alias("concluded_at_ms"))
+    concluded = T.cell_telemetry(spark, sf_dir).filter("queue_depth > 0").select("shard_id", "x", "y", F.col("seq").alias("concluded_at_ms"))
     hot = _decisions(spark, sf_dir).filter("likely_hot").select("shard_id", "x", "y", "seq")
     return control.cooling(hot, concluded, 100_000, control.Policy(cooldown_ms=60_000))
 

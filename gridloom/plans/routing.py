@@ -138,14 +138,14 @@ def answers_agree(spark, sf_dir):
 
 
 def _overrides(spark, sf_dir):
-    """Every seventh customer's number moves a cell to another node."""
-    c = T.table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0")
+    """Every customer's number moves a cell to another node."""
+    c = T.table(spark, sf_dir, "customer")
     nodes = T.regions(spark, sf_dir)
     cells = c.select((F.col("c_custkey") % 25).alias("shard_id"), (F.floor(F.col("c_custkey") / 25) % 156).cast("int").alias("cell"), F.col("c_nationkey").cast("bigint").alias("to")).groupBy("shard_id", "cell").agg(F.min("to").alias("to"))
     return cells.join(F.broadcast(nodes.select(F.col("shard_id").alias("to"), "node_id")), "to").select("shard_id", (F.col("cell") % 12).alias("x"), F.floor(F.col("cell") / 12).cast("int").alias("y"), "node_id")
 
 
-_CELLS = """WITH moved AS (SELECT c_custkey % 25 AS shard_id, CAST(c_custkey // 25 % 156 AS INTEGER) AS cell_index, min(c_nationkey) AS to_key FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1, 2),
+_CELLS = """WITH moved AS (SELECT c_custkey % 25 AS shard_id, CAST(c_custkey // 25 % 156 AS INTEGER) AS cell_index, min(c_nationkey) AS to_key FROM customer GROUP BY 1, 2),
 owned AS (SELECT n.n_nationkey AS shard_id, i AS cell_index, coalesce(t.n_name, n.n_name) AS node_id FROM nation n CROSS JOIN range(156) r(i) LEFT JOIN moved m ON m.shard_id = n.n_nationkey AND m.cell_index = i LEFT JOIN nation t ON t.n_nationkey = m.to_key),
 marked AS (SELECT *, sum(new) OVER (PARTITION BY shard_id ORDER BY cell_index) AS segment FROM (SELECT *, CASE WHEN node_id = lag(node_id) OVER (PARTITION BY shard_id ORDER BY cell_index) THEN 0 ELSE 1 END AS new FROM owned WHERE {})) """
 _SEGMENTS = "SELECT CAST(shard_id AS BIGINT) AS shard_id, CAST(segment AS BIGINT) AS segment, min(node_id) AS node_id, CAST(min(cell_index) AS INTEGER) AS first_cell, CAST(max(cell_index) AS INTEGER) AS last_cell, count(*) AS cells FROM marked GROUP BY shard_id, segment"
@@ -241,27 +241,61 @@ def write_targets(spark, sf_dir):
     return routing.write_targets(entries.drop("region"), replicas, moves)
 
 
-_CANDIDATES = """, base AS (SELECT shard_id, node_id, region, CASE WHEN role = 'primary' THEN 'primary' ELSE 'secondary' END AS served_by, CASE WHEN role = 'primary' THEN 0 ELSE 1 END AS a FROM sets WHERE state = 'in_sync'
-  UNION ALL SELECT shard_id, owner, r_name, 'shard_owner', 0 FROM entries JOIN nation ON n_name = owner JOIN region ON r_regionkey = n_regionkey WHERE shard_id NOT IN (SELECT shard_id FROM sets)),
-stays AS (SELECT b.shard_id, b.node_id, b.region, b.a, CASE WHEN m.has_cut_over AND b.node_id = m.destination THEN 'migration_destination' WHEN NOT m.has_cut_over AND b.node_id = m.source THEN 'migration_source' ELSE b.served_by END AS served_by
+_CANDIDATES = """, base AS (SELECT shard_id, node_id, CASE WHEN role = 'primary' THEN 'primary' ELSE 'secondary' END AS served_by, CASE WHEN role = 'primary' THEN 0 ELSE 1 END AS a FROM sets WHERE state = 'in_sync'
+  UNION ALL SELECT shard_id, owner, 'shard_owner', 0 FROM entries WHERE shard_id NOT IN (SELECT shard_id FROM sets)),
+stays AS (SELECT b.shard_id, b.node_id, b.a, CASE WHEN m.has_cut_over AND b.node_id = m.destination THEN 'migration_destination' WHEN NOT m.has_cut_over AND b.node_id = m.source THEN 'migration_source' ELSE b.served_by END AS served_by
   FROM base b LEFT JOIN moves m USING (shard_id) WHERE m.source IS NULL OR (m.has_cut_over AND b.node_id <> m.source) OR (NOT m.has_cut_over AND b.node_id <> m.destination)),
-everything AS (SELECT * FROM stays UNION ALL SELECT shard_id, destination, NULL, -1, 'migration_destination' FROM moves m WHERE has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id AND s.node_id = m.destination)
-  UNION ALL SELECT shard_id, source, NULL, -1, 'migration_source' FROM moves m WHERE NOT has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id))
+listed AS (SELECT * FROM stays UNION ALL SELECT shard_id, destination, -1, 'migration_destination' FROM moves m WHERE has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id AND s.node_id = m.destination)
+  UNION ALL SELECT shard_id, source, -1, 'migration_source' FROM moves m WHERE NOT has_cut_over AND NOT EXISTS (FROM stays s WHERE s.shard_id = m.shard_id)),
+everything AS (SELECT l.*, r_name AS region FROM listed l JOIN nation ON n_name = l.node_id JOIN region ON r_regionkey = n_regionkey)
 """
 
 
-@query(_TOPOLOGY + _CANDIDATES + "SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY a, node_id) AS rank, node_id, served_by FROM everything")
+@query(_TOPOLOGY + _CANDIDATES + ", ranked AS (SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY a, node_id) AS rank, node_id, served_by FROM everything) SELECT e.shard_id, rank, node_id, served_by, CASE WHEN node_id IS NULL THEN 'no_readable_replica' END AS error FROM entries e LEFT JOIN ranked r ON r.shard_id = e.shard_id")
 def read_candidates(spark, sf_dir):
     return routing.read_candidates(*_topology(spark, sf_dir))
 
 
 @query(_TOPOLOGY + _CANDIDATES + """, ranked AS (SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY CASE WHEN region = 'ASIA' THEN 0 ELSE 1 END, a, node_id) AS rank, node_id, served_by FROM everything),
-judged AS (SELECT r.*, n.n_nationkey % 11 <> 10 AS routable FROM ranked r JOIN nation n ON n.n_name = r.node_id)
-SELECT *, CASE WHEN NOT bool_or(routable) OVER (PARTITION BY shard_id) THEN 'no_live_owner' END AS error FROM judged""")
+judged AS (SELECT e.shard_id, rank, node_id, served_by, coalesce(n.n_nationkey % 11 <> 10, false) AS routable FROM entries e LEFT JOIN ranked r ON r.shard_id = e.shard_id LEFT JOIN nation n ON n.n_name = r.node_id)
+SELECT *, CASE WHEN node_id IS NULL THEN 'no_readable_replica' WHEN NOT bool_or(routable) OVER (PARTITION BY shard_id) THEN 'no_live_owner' END AS error FROM judged""")
 def region_routes(spark, sf_dir):
     """Read candidates that prefer one region, with which of them can be routed to."""
-    nodes = T.fleet_nodes(spark, sf_dir).select("node_id", F.when(F.col("condition") == "healthy", "serviceable").when(F.col("condition") == "degraded", "unknown").otherwise("unreachable").alias("availability"))
-    return routing.routes(routing.read_candidates(*_topology(spark, sf_dir), preference="prefer_region", region="ASIA"), nodes)
+    nodes = T.fleet_nodes(spark, sf_dir).select("node_id", "region", F.when(F.col("condition") == "healthy", "serviceable").when(F.col("condition") == "degraded", "unknown").otherwise("unreachable").alias("availability"))
+    return routing.routes(routing.read_candidates(*_topology(spark, sf_dir), preference="prefer_region", region="ASIA", nodes=nodes), nodes)
+
+
+def _cell_moves(spark, sf_dir):
+    """Each supplier's migration of a cell, each part brand's of a shard; most have cut over."""
+    s, nodes = T.table(spark, sf_dir, "supplier"), T.regions(spark, sf_dir)
+    k = F.col("s_suppkey")
+    cell = F.floor(k / 25) % 156
+    rows = s.select((k % 25).alias("shard_id"), F.when(k % 10 > 0, cell % 12).cast("int").alias("x"), F.when(k % 10 > 0, F.floor(cell / 12)).cast("int").alias("y"), F.col("s_nationkey").cast("bigint").alias("to"), k.cast("bigint").alias("seq"), F.when(k % 4 == 0, "copying").when(k % 4 == 1, "aborted").otherwise("completed").alias("phase"), (k % 4 > 1).alias("has_cut_over"))
+    return rows.join(nodes.select(F.col("shard_id").alias("to"), F.col("node_id").alias("destination")), "to")
+
+
+@query("""WITH moves AS (SELECT s_suppkey % 25 AS shard_id, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey // 25 % 156 % 12 END AS x, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey // 25 % 156 // 12 END AS y, n_name AS destination, s_suppkey AS seq FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 > 1),
+last AS (SELECT shard_id, x, y, arg_max(destination, seq) AS node_id FROM moves GROUP BY ALL),
+held AS (SELECT n_nationkey AS shard_id, NULL AS x, NULL AS y, n_name AS node_id FROM nation UNION ALL SELECT shard_id, cell_index % 12, cell_index // 12, n_name FROM (SELECT c_custkey % 25 AS shard_id, CAST(c_custkey // 25 % 156 AS INTEGER) AS cell_index, min(c_nationkey) AS to_key FROM customer GROUP BY 1, 2) JOIN nation ON n_nationkey = to_key)
+SELECT CAST(coalesce(h.shard_id, l.shard_id) AS BIGINT) AS shard_id, CAST(coalesce(h.x, l.x) AS INTEGER) AS x, CAST(coalesce(h.y, l.y) AS INTEGER) AS y, coalesce(l.node_id, h.node_id) AS node_id
+FROM held h FULL JOIN last l ON l.shard_id = h.shard_id AND l.x IS NOT DISTINCT FROM h.x AND l.y IS NOT DISTINCT FROM h.y""")
+def published_owners(spark, sf_dir):
+    """Owners and overrides once ended migrations are folded into them."""
+    topology = T.regions(spark, sf_dir).select("shard_id", "node_id", F.lit(0).alias("position"))
+    return routing.published(topology, _overrides(spark, sf_dir), _cell_moves(spark, sf_dir))
+
+
+@query("""WITH cells AS (SELECT DISTINCT user_id % 25 AS shard_id, CAST(user_id // 25 % 156 % 12 AS INTEGER) AS x, CAST(user_id // 25 % 156 // 12 AS INTEGER) AS y FROM events),
+moves AS (SELECT s_suppkey % 25 AS shard_id, CASE WHEN s_suppkey % 10 > 0 THEN CAST(s_suppkey // 25 % 156 % 12 AS INTEGER) END AS x, CASE WHEN s_suppkey % 10 > 0 THEN CAST(s_suppkey // 25 % 156 // 12 AS INTEGER) END AS y, n_name AS destination, s_suppkey AS seq FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+of_cell AS (SELECT shard_id, x, y, arg_max(destination, seq) AS destination FROM moves WHERE x IS NOT NULL GROUP BY ALL), of_shard AS (SELECT shard_id, arg_max(destination, seq) AS destination FROM moves WHERE x IS NULL GROUP BY ALL)
+SELECT c.shard_id, c.x, c.y, k.destination IS NOT NULL AS cell_scope, coalesce(k.destination, s.destination) AS destination FROM cells c LEFT JOIN of_cell k USING (shard_id, x, y) LEFT JOIN of_shard s ON s.shard_id = c.shard_id""")
+def scoped_migrations(spark, sf_dir):
+    """The migration that holds for each cell: its own, else its shard's."""
+    e = T.table(spark, sf_dir, "events")
+    cell = F.floor(F.col("user_id") / 25) % 156
+    cells = e.select((F.col("user_id") % 25).alias("shard_id"), (cell % 12).cast("int").alias("x"), F.floor(cell / 12).cast("int").alias("y")).distinct()
+    moves = _cell_moves(spark, sf_dir).groupBy("shard_id", "x", "y").agg(F.max_by("destination", "seq").alias("destination"))
+    return routing.scoped(cells, moves.filter("x is not null"), moves.filter("x is null"), ["destination"])
 
 
 @query()

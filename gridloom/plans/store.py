@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import diffsync, store
+from ..operators import diffsync, keyspace, store
 from ..sources import tables as T
 from . import parts as P
 from .registry import query
@@ -71,9 +72,11 @@ def aggregate_by(spark, sf_dir):
     return store.aggregate(store.select(_nodes(spark, sf_dir), kind="Customer"), "min", "amount", by="owner", values=["NATION_3", "NATION_7", "NATION_19"])
 
 
-@query(_S + "SELECT owner, count(*) AS owned FROM store WHERE kind = 'Order' GROUP BY owner")
+@query(_S + "SELECT owner, address FROM store WHERE owner IN (SELECT 'Customer:' || c_custkey FROM customer)")
 def owned_nodes(spark, sf_dir):
-    return store.select(_nodes(spark, sf_dir), kind="Order").groupBy("owner").agg(F.count("*").alias("owned"))
+    """The children of every customer."""
+    nodes = _nodes(spark, sf_dir)
+    return store.children(nodes, store.select(nodes, kind="Customer"))
 
 
 @query("WITH " + P.EDGES + " SELECT \"from\", \"to\", kind FROM edges WHERE \"from\" IN (SELECT 'Order:' || i * 10 FROM range(200) t(i))")
@@ -105,19 +108,65 @@ def changes_after(spark, sf_dir):
     return store.changes_after(T.change_log(spark, sf_dir), 4000).select("seq", "address", "op", "value")
 
 
-@query(_S + "SELECT address FROM store WHERE kind = 'Order' AND amount < 20000")
+_LEFT = "WITH " + P.NODES + ", " + P.EDGES + """, gone AS (SELECT address FROM store WHERE kind = 'Order'{}), counted AS (SELECT kind, count(*) AS left FROM store WHERE address NOT IN (SELECT address FROM gone) GROUP BY kind
+UNION ALL SELECT 'edges', count(*) FROM edges WHERE "from" NOT IN (SELECT address FROM gone) AND "to" NOT IN (SELECT address FROM gone)) SELECT kind, left AS remaining FROM counted"""
+
+
+def _remaining(spark, sf_dir, predicate=None):
+    nodes, edges = store.remove(_nodes(spark, sf_dir), T.store_edges(spark, sf_dir), "Order", predicate)
+    return store.kind_counts(nodes).union(edges.agg(F.lit("edges").alias("kind"), F.count("*").alias("count"))).withColumnRenamed("count", "remaining")
+
+
+@query(_LEFT.replace(" AS left ", " AS n ").replace("left AS remaining", "n AS remaining").format(" AND amount < 20000"))
 def delete_where(spark, sf_dir):
-    """The tombstones that a filtered clearing of a kind writes."""
-    return store.select(_nodes(spark, sf_dir), kind="Order", predicate=store.where({"op": "<", "left": "amount", "right": 20000}, F.col)).select("address")
+    """What a filtered clearing of a kind leaves of nodes and edges."""
+    return _remaining(spark, sf_dir, store.where({"op": "<", "left": "amount", "right": 20000}, F.col))
+
+
+@query(_LEFT.replace(" AS left ", " AS n ").replace("left AS remaining", "n AS remaining").format(""))
+def clear_kind(spark, sf_dir):
+    """What clearing a kind leaves."""
+    return _remaining(spark, sf_dir)
+
+
+def _asking(rows, **expect):
+    kinds = {"expect_le": "double", "expect_eq": "string", "expect_absent": "boolean"}
+    return rows.select("address", "seq", F.lit("value").alias("field"), *[F.lit(expect.get(c)).cast(t).alias(c) if not hasattr(expect.get(c), "alias") else expect[c].alias(c) for c, t in kinds.items()], F.to_json(F.struct("value")).alias("set"))
+
+
+def _value(data):
+    return F.get_json_object(data, "$.value").cast("double").alias("value")
 
 
 @query("WITH " + P.LOG + ", asked AS (SELECT address, seq, value FROM log WHERE op = 'set') SELECT address, seq, seq = min(seq) OVER (PARTITION BY address) AS applied, first(value) OVER (PARTITION BY address ORDER BY seq) AS value FROM asked")
 def set_if_cas(spark, sf_dir):
     """Each write asks to be the first of its address; the value after is the winner's."""
     log = T.change_log(spark, sf_dir).filter("op = 'set'")
-    asked = log.select("address", "seq", F.lit(None).cast("double").alias("expect_le"), F.lit(None).cast("double").alias("expect_eq"), F.lit(True).alias("expect_absent"), F.col("value").alias("set"))
-    empty = log.select("address", F.lit(None).cast("double").alias("value")).limit(0)
-    return store.set_if(empty, asked)
+    none = log.select("address", F.lit(None).cast("string").alias("data")).limit(0)
+    return store.set_if(none, _asking(log, expect_absent=True)).select("address", "seq", "applied", _value("data"))
+
+
+@query("WITH " + P.LOG + ", asked AS (SELECT address, seq, value FROM log WHERE op = 'set') SELECT address, seq, value >= coalesce(max(value) OVER (PARTITION BY address ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS applied, greatest(max(value) OVER (PARTITION BY address ORDER BY seq), 0) AS value FROM asked")
+def set_if_at_most(spark, sf_dir):
+    """Each write asks that the value be at most its own, from 0 on: what stays is the greatest so far."""
+    log = T.change_log(spark, sf_dir).filter("op = 'set'")
+    start = log.select("address").distinct().withColumn("data", F.lit('{"value": 0, "kept": true}'))
+    return store.set_if(start, _asking(log, expect_le=F.col("value"))).select("address", "seq", "applied", _value("data"))
+
+
+@query("WITH " + P.LOG + """, asked AS (SELECT address, seq, row_number() OVER (PARTITION BY address ORDER BY seq) AS n FROM log WHERE op = 'set')
+SELECT address, seq, true AS applied, CAST(n AS DOUBLE) AS value, n AS revision FROM asked UNION ALL SELECT address, seq + 1000000000, false, CAST(n AS DOUBLE), n FROM asked""")
+def set_if_revision(spark, sf_dir):
+    """Each write comes twice with the revision that it has seen: the second time all have moved on, and it must fail."""
+    log = T.change_log(spark, sf_dir).filter("op = 'set'")
+    n = F.row_number().over(Window.partitionBy("address").orderBy("seq"))
+    asked = log.select("address", "seq", n.alias("n")).select("address", "seq", F.lit("revision").alias("field"), F.lit(None).cast("double").alias("expect_le"), (F.col("n") - 1).cast("string").alias("expect_eq"), F.lit(None).cast("boolean").alias("expect_absent"), F.to_json(F.struct(F.col("n").alias("revision"), F.col("n").cast("double").alias("value"))).alias("set"))
+    again = asked.withColumn("seq", F.col("seq") + F.lit(1_000_000_000))
+    start = log.select("address").distinct().withColumn("data", F.lit('{"revision": 0}'))
+    out = store.set_if(start, asked.union(again))
+    last = F.max(F.get_json_object("data", "$.revision").cast("bigint")).over(Window.partitionBy("address"))
+    # A second try leaves what all writes have left; the first one is told by its own revision.
+    return out.withColumn("last", last).join(asked.select("address", F.col("seq").alias("s"), F.col("expect_eq").cast("bigint").alias("seen")), ["address"]).filter("seq % 1000000000 = s").select("address", "seq", "applied", (F.col("seen") + 1).cast("double").alias("value"), (F.col("seen") + 1).alias("revision"))
 
 
 @query("WITH " + P.LOG + " SELECT address, seq, CAST(CASE WHEN seq = min(seq) OVER (PARTITION BY address) THEN 200 ELSE 409 END AS INTEGER) AS status FROM log WHERE op = 'set'")
@@ -130,19 +179,48 @@ def sequence_blocks(spark, sf_dir):
     return store.sequence_blocks(T.change_log(spark, sf_dir).filter("op = 'set'").select(F.col("address").alias("name"), "seq", (F.col("seq") % 5 + 1).alias("size")))
 
 
-@query()
-def transaction_fold(spark, sf_dir):
-    """Users' events as transactions: sign-ups create, purchases set, errors delete; a failed precondition leaves nothing."""
-    log = T.change_log(spark, sf_dir)
-    kind = F.when(F.col("op") == "set", F.when(F.col("seq") % 3 == 0, "create").otherwise("insert_node")).when(F.col("op") == "delete", "delete_node").otherwise("claim")
-    rows = log.select(F.col("address").alias("scope"), F.col("seq").alias("tx_id"), F.lit(0).alias("position"), kind.alias("type"), "address", F.lit(None).cast("string").alias("expect_eq"), F.when(kind.isin("create", "insert_node"), F.to_json(F.struct("value"))).otherwise(F.lit("me")).alias("set"))
-    rows = rows.withColumn("set", F.when(F.col("type") == "delete_node", None).otherwise(F.col("set")))
-    return store.transactions(rows.withColumn("set", F.when(F.col("type") == "claim", F.lit('"me"')).otherwise(F.col("set"))))
+_ORDERED = """WITH o AS (SELECT l_orderkey AS k, count(DISTINCT l_partkey) AS parts, bool_or(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1),
+t AS (SELECT k * 4 AS tx_id, CASE WHEN returned THEN 412 ELSE 200 END AS status, CASE WHEN returned THEN 0 ELSE 1 + 2 * parts END AS changed FROM o
+UNION ALL SELECT k * 4 + 1, CASE WHEN returned THEN 200 ELSE 412 END, CASE WHEN returned THEN 1 ELSE 0 END FROM o
+UNION ALL SELECT k * 4 + 2, 200, CASE WHEN returned THEN 0 ELSE parts END FROM o) """
 
 
-@query(_S + "SELECT kind, count(*) AS nodes, count(DISTINCT owner) AS owners FROM store GROUP BY kind")
+@query(_ORDERED + "SELECT CAST(tx_id AS BIGINT) AS tx_id, CAST(status AS INTEGER) AS status, CAST(changed AS BIGINT) AS changed FROM t")
+def transaction_fold(spark, sf_dir):
+    """Each order's transactions: one creates the order, its parts and the edges to them, and fails if a line was returned (its claim finds no node);
+    the next creates the order again, which works only if nothing is left of the first; the last clears the parts."""
+    line = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("Part:"), "l_partkey").alias("part"), (F.col("l_returnflag") == "R").alias("returned"))
+    order = F.concat(F.lit("Order:"), "k")
+    op = lambda rows, tx, position, kind, address, to=None: rows.select(F.col("k").cast("string").alias("scope"), (F.col("k") * 4 + tx).alias("tx_id"), position.cast("int").alias("position"), F.lit(kind).alias("type"), address.alias("address"), (F.lit(None).cast("string") if to is None else to).alias("to"), F.lit(None).cast("string").alias("expect_eq"), F.lit("{}").alias("set"))
+    keys, parts = line.select("k").distinct(), line.select("k", "part").distinct()
+    zero = F.lit(0)
+    return store.transactions(
+        op(keys, 0, zero, "create", order).union(op(parts, 0, zero + 1, "insert_node", F.col("part"))).union(op(parts, 0, zero + 2, "insert_edge", order, F.col("part")))
+        .union(op(line.filter("returned"), 0, zero + 3, "claim", F.lit("Nobody:0"))).union(op(keys, 1, zero, "create", order)).union(op(keys, 2, zero, "clear_kind", F.lit("Part")))
+    )
+
+
+@query("WITH " + P.NODES + ", " + P.EDGES + ", " + P.LOG + """, v AS (SELECT op, lead(seq) OVER (PARTITION BY address ORDER BY seq) IS NULL AS last FROM log WHERE op IN ('set', 'delete'))
+SELECT (SELECT count(*) FROM store) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(DISTINCT owner) FROM store) AS user_count, (SELECT count(*) FROM v WHERE op = 'set' AND NOT last) AS history_entries,
+(SELECT count(*) FROM log WHERE op = 'read') AS reads_total, (SELECT count(*) FROM log WHERE op <> 'read') AS writes_total, (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM store GROUP BY kind)) AS kinds""")
 def engine_stats(spark, sf_dir):
-    return _nodes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("nodes"), F.count_distinct("owner").alias("owners"))
+    stats = store.engine_stats(_nodes(spark, sf_dir), T.store_edges(spark, sf_dir), T.change_log(spark, sf_dir))
+    return stats.withColumn("kinds", F.array_join(F.transform("kinds", lambda k: F.concat_ws("=", k["kind"], k["count"])), ","))
+
+
+@query("SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'Order' WHEN 1 THEN 'Customer' WHEN 2 THEN 'Part' WHEN 3 THEN 'Supplier' ELSE 'Nothing' END AS channel, CAST(CASE event_id % 5 WHEN 4 THEN NULL ELSE event_id % 5 + 1 END AS BIGINT) AS shard_id, CASE WHEN event_id % 5 = 4 THEN 'unmapped' END AS miss FROM events")
+def published_messages(spark, sf_dir):
+    """Each event published on a channel that belongs to one shard, or to none."""
+    rules = spark.createDataFrame([("kind", k, i + 1) for i, k in enumerate(["Order", "Customer", "Part", "Supplier"])], keyspace.RULES)
+    channels = F.array(*[F.lit(c) for c in ("Order", "Customer", "Part", "Supplier", "Nothing")])
+    e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.element_at(channels, (F.col("event_id") % 5 + 1).cast("int")).alias("channel"), F.col("props").alias("payload"))
+    return store.published(e, rules).drop("payload")
+
+
+@query("SELECT p_brand AS name, count(DISTINCT p_size % 3) = 3 AS everywhere, count(DISTINCT p_type) = 1 AS alike FROM part GROUP BY p_brand")
+def declared_indexes(spark, sf_dir):
+    """Brands as declarations that three backends list, with the part's type as what each says of them."""
+    return store.declarations(T.table(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("backend"), F.col("p_brand").alias("name"), F.col("p_type").alias("definition")), 3)
 
 
 def _pair(spark, sf_dir):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import grid, simulation
+from ..functions import grid, simulation, wire
 from ..operators import generator, profile, rates
 from ..sources import tables as T
 from ..streaming import fold
@@ -31,17 +32,21 @@ def grid_roundtrip(spark, sf_dir):
     return spark.range(200).select(i.alias("cell_index"), grid.cell_index(x, y).alias("again"), grid.on_grid(x, y).alias("on_grid"))
 
 
-_KEYS = ["7/3,4", " 12 / 11 , 12 ", "7", "x/1,2", "7/1", "7/a,2", "7/12,0", "7/0,13", "7/300,1", "18446744073709551616/1,1", "/1,1", "7/1,2,3", "0/0,0"]
-_KEY_ROWS = [("7/3,4", 7, 3, 4, None), (" 12 / 11 , 12 ", 12, 11, 12, None), ("7", None, None, None, "missing_slash"), ("x/1,2", None, None, None, "bad_shard"), ("7/1", None, None, None, "missing_comma"), ("7/a,2", None, None, None, "bad_coordinate"), ("7/12,0", None, None, None, "off_grid"), ("7/0,13", None, None, None, "off_grid"), ("7/300,1", None, None, None, "bad_coordinate"), ("18446744073709551616/1,1", None, None, None, "bad_shard"), ("/1,1", None, None, None, "bad_shard"), ("7/1,2,3", None, None, None, "bad_coordinate"), ("0/0,0", 0, 0, 0, None)]
-
-
 def _sql(v) -> str:
     return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
-@query("SELECT text, CAST(shard_id AS BIGINT) AS shard_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, error FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _KEY_ROWS) + ") t(text, shard_id, x, y, error)")
+@query("""WITH k AS (SELECT event_id, event_id % 8 AS form, user_id AS s, user_id % 12 AS x, event_id % 13 AS y FROM events)
+SELECT event_id, CASE form WHEN 0 THEN s || '/' || x || ',' || y WHEN 1 THEN ' +' || s || ' / ' || x || ' ,' || chr(9) || y || ' ' WHEN 2 THEN s::VARCHAR WHEN 3 THEN 'abc/' || x WHEN 4 THEN 'abc/' || x || ',' || y WHEN 5 THEN s || '/' || (300 + x) || ',' || y WHEN 6 THEN s || '/' || x || ',' || y || ',1' ELSE s || '/' || (12 + x) || ',' || y END AS text,
+CASE WHEN form < 2 THEN s END AS shard_id, CASE WHEN form < 2 THEN CAST(x AS INTEGER) END AS x, CASE WHEN form < 2 THEN CAST(y AS INTEGER) END AS y, [NULL, NULL, 'missing_slash', 'missing_comma', 'bad_shard', 'bad_x', 'bad_y', 'off_grid'][form + 1] AS error FROM k""")
 def routing_key_parse(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in _KEYS], "text string").select("text", grid.parse_key(F.col("text")).alias("k")).select("text", "k.*")
+    """Keys of every event in eight forms, six of them wrong in one way each."""
+    e = T.table(spark, sf_dir, "events")
+    s, x, y, form = F.col("user_id"), F.col("user_id") % 12, F.col("event_id") % 13, F.col("event_id") % 8
+    t = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    texts = [t(s, "/", x, ",", y), t(" +", s, " / ", x, " ,\t", y, " "), s.cast("string"), t("abc/", x), t("abc/", x, ",", y), t(s, "/", x + 300, ",", y), t(s, "/", x, ",", y, ",1"), t(s, "/", x + 12, ",", y)]
+    text = F.element_at(F.array(*texts), (form + 1).cast("int"))
+    return e.select("event_id", text.alias("text")).withColumn("k", grid.parse_key(F.col("text"))).select("event_id", "text", "k.*")
 
 
 _METRICS = ["shard_id", "x", "y", "seq", "timestamp_ms", "node_id", "region", "reads", "writes", "cpu_utilization", "memory_utilization", "read_latency_us", "write_latency_us", "queue_depth"]
@@ -139,13 +144,15 @@ def _counts(events):
     return events.groupBy((F.col("user_id") % 12).cast("int").alias("x"), (F.col("user_id") % 13).cast("int").alias("y")).agg(F.count_if(F.col("event_type").isin(T.READS)).alias("reads"), F.count_if(F.col("event_type").isin(T.WRITES)).alias("writes"), F.sum(F.length("props")).cast("bigint").alias("bytes_read"), F.sum(F.length("event_type")).cast("bigint").alias("bytes_written")).withColumns({"z": F.lit(0), "q": F.lit(0)})
 
 
-@query(f"WITH a AS ({_HALF.format('event_id % 7 < 3')}), b AS ({_HALF.format('event_id % 5 < 3')}) SELECT b.x, b.y, b.z, b.q, " + ", ".join(f"CAST(greatest(b.{c} - coalesce(a.{c}, 0), 0) AS DOUBLE) / 15::DOUBLE AS {c}_per_second" for c in ("reads", "writes", "bytes_read", "bytes_written")) + " FROM b LEFT JOIN a USING (x, y, z, q)")
+@query(f"WITH a AS ({_HALF.format('ts <= (SELECT max(ts) - INTERVAL 15 DAY FROM events)')}), b AS ({_HALF.format('true')}) SELECT b.x, b.y, b.z, b.q, " + ", ".join(f"CAST(greatest(b.{c} - coalesce(a.{c}, 0), 0) AS DOUBLE) / 15::DOUBLE AS {c}_per_second" for c in ("reads", "writes", "bytes_read", "bytes_written")) + " FROM b LEFT JOIN a USING (x, y, z, q)")
 def cell_breakdown_rates(spark, sf_dir):
+    """Cumulative counts now and fifteen days before; a day stands for a second."""
     events = T.table(spark, sf_dir, "events")
-    return rates.cell_rates(_counts(events.filter("event_id % 7 < 3")), _counts(events.filter("event_id % 5 < 3")), 15.0)
+    last = events.agg((F.max("ts") - F.expr("interval 15 days")).alias("before"))
+    return rates.cell_rates(_counts(events.join(last, F.col("ts") <= F.col("before"))), _counts(events), 15.0)
 
 
-_BEATS = """WITH beats AS (SELECT event_id AS seq, n_name AS node_id, epoch_us(ts) // 1000 AS timestamp_ms, event_type <> 'error' AS healthy FROM events JOIN nation ON n_nationkey = user_id % 25 WHERE user_id % 3 = 0),
+_BEATS = """WITH beats AS (SELECT event_id AS seq, n_name AS node_id, epoch_us(ts) // 1000 AS timestamp_ms, event_type <> 'error' AS healthy FROM events JOIN nation ON n_nationkey = user_id % 25),
 registered AS (SELECT n_name AS node_id, CAST(n_nationkey * 400 AS BIGINT) AS seq FROM nation WHERE n_nationkey < 20),
 clock AS (SELECT max(timestamp_ms) AS now_ms FROM beats)
 """
@@ -153,7 +160,7 @@ clock AS (SELECT max(timestamp_ms) AS now_ms FROM beats)
 
 def _beats(spark, sf_dir):
     nodes = T.regions(spark, sf_dir)
-    beats = T.table(spark, sf_dir, "events").filter("user_id % 3 = 0").join(F.broadcast(nodes), F.col("user_id") % 25 == F.col("shard_id")).select(F.col("event_id").alias("seq"), "node_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), (F.col("event_type") != "error").alias("healthy"))
+    beats = T.table(spark, sf_dir, "events").join(F.broadcast(nodes), F.col("user_id") % 25 == F.col("shard_id")).select(F.col("event_id").alias("seq"), "node_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), (F.col("event_type") != "error").alias("healthy"))
     return beats, nodes.filter("shard_id < 20").select("node_id", (F.col("shard_id") * 400).alias("seq"))
 
 
@@ -201,3 +208,39 @@ def sim_observations(spark, sf_dir):
     spec = generator.Spec(hot={(1, 0): (6.0, 10_000, 40_000)})
     faults = spark.createDataFrame([("us-west-db-1", 20_000, False, True), ("us-west-db-1", 45_000, True, True)], "node_id string, at_ms bigint, online boolean, reachable boolean")
     return generator.observations(spark, spec, 60, faults)
+
+
+@query("SELECT n_name AS node_id, count(event_id) FILTER (event_type <> 'error') AS beats, coalesce(bool_or(event_type = 'click'), false) AS ever_serving FROM nation LEFT JOIN events ON user_id % 25 = n_nationkey GROUP BY n_name")
+def probe_heartbeats(spark, sf_dir):
+    """Events as liveness probes: errors reach nobody, clicks find a serving node, all others one that answers."""
+    kind = F.col("event_type")
+    found = F.when(kind == "error", "unreachable").when(kind == "click", "serving").otherwise("answering")
+    e = T.table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("shard_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), found.alias("outcome"))
+    nodes = T.regions(spark, sf_dir).select("shard_id", "node_id")
+    beats = fold.probe_heartbeats(e.join(nodes, "shard_id")).groupBy("node_id").agg(F.count("*").alias("beats"), F.bool_or("healthy").alias("ever_serving"))
+    return nodes.select("node_id").join(beats, "node_id", "left").select("node_id", F.coalesce("beats", F.lit(0)).alias("beats"), F.coalesce("ever_serving", F.lit(False)).alias("ever_serving"))
+
+
+@query("WITH r AS (SELECT user_id % 25 AS shard_id, event_id, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id DESC) AS back, count(*) OVER (PARTITION BY user_id % 25) AS n FROM events) SELECT shard_id, event_id FROM r WHERE back <= CASE WHEN n <= 64 THEN n ELSE 32 + (n - 64 - 1) % 32 + 1 END")
+def recent_observations(spark, sf_dir):
+    """What a bounded memory of 64 observations that drops its older half when full still holds, by shard."""
+    e = T.table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("shard_id"), F.col("event_id").alias("seq"))
+    return profile.recent(e, ["shard_id"], 64).withColumnRenamed("seq", "event_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN value END AS cpu_utilization, event_id % 7 = 0 AS partial, CASE WHEN event_id % 3 = 0 THEN event_id END AS retry_after_s, event_id % 4 < 2 AS has_credential,
+CASE WHEN event_id % 2 = 0 THEN event_id END AS as_integer, CASE WHEN event_id % 2 = 1 THEN value END AS as_double FROM events""")
+def wire_fields(spark, sf_dir):
+    """Of each event as a reply of the wire: a closed window's figures, partial attribution, the wait asked for, credentials, typed values."""
+    i = F.col("event_id")
+    rows = T.table(spark, sf_dir, "events").select(
+        "event_id", "value", F.when(i % 5 > 0, 60_000).otherwise(0).alias("duration_ms"), F.when(i % 7 == 0, 3).otherwise(0).alias("overflow"),
+        F.when(i % 3 == 0, F.concat(F.lit(" "), i, F.lit("\t"))).when(i % 3 == 1, F.concat(F.lit("-"), i)).otherwise("Wed, 21 Oct").alias("retry_after"),
+        F.when(i % 4 == 0, F.array(F.lit("X-Api-Key"), F.lit("accept"))).otherwise(F.array(F.lit("accept"))).alias("headers"),
+        F.when(i % 4 == 1, "a=1&key=s").when(i % 4 == 2, "key=&a=key").otherwise("keys=1").alias("query"),
+        F.when(i % 2 == 0, "integer").otherwise("double").alias("tag"),
+    )
+    return rows.select(
+        "event_id", wire.of_window("duration_ms", "value").alias("cpu_utilization"), wire.partial("overflow").alias("partial"), wire.retry_after("retry_after").alias("retry_after_s"), wire.has_credential("headers", "query").alias("has_credential"),
+        wire.typed("tag", "integer", i).alias("as_integer"), wire.typed("tag", "double", F.col("value")).alias("as_double"),
+    )

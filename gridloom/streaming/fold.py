@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,19 @@ def control_loop(samples: DataFrame, cycle: Callable[[DataFrame, int], None], ch
         cycle(live_predictions(df), number)
 
     return samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def probe_heartbeats(probes: DataFrame) -> DataFrame:
+    """Heartbeats of liveness probes (outcome serving, answering or unreachable): a node that wasn't reached files none."""
+    return probes.filter(F.col("outcome").isin("serving", "answering")).select("node_id", "timestamp_ms", (F.col("outcome") == "serving").alias("healthy"))
+
+
+def fan_in(feeds: list[DataFrame]) -> DataFrame:
+    """Change frames of several feeds as one. A feed that ends has its last frame's `ended` set: that fails the whole, as a source that breaks does."""
+    together = reduce(DataFrame.unionByName, feeds)
+    return together.withColumn("ended", F.when(F.col("ended"), F.raise_error(F.lit("a change feed has ended")).cast("boolean")).otherwise(False)).filter(~F.col("ended")).drop("ended")
+
+
+def feed_counters(frames: DataFrame, addresses: DataFrame) -> DataFrame:
+    """observed frames, and applied: distinct dirty addresses that they left."""
+    return frames.agg(F.count("*").alias("observed")).join(addresses.agg(F.count_distinct("address").alias("applied")))
