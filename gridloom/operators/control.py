@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -66,8 +68,18 @@ def validate(decisions: DataFrame, placements: DataFrame, fleet: DataFrame, acti
 
 
 def counters(validated: DataFrame) -> DataFrame:
-    """proposed, admitted, refused."""
-    return validated.agg(F.count("*").alias("proposed"), F.count_if(F.col("refusal").isNull()).alias("admitted"), F.count_if(F.col("refusal").isNotNull()).alias("refused"))
+    """proposed, admitted, refused and last_refusal (by seq; of one seq by cell)."""
+    order = F.struct("seq", "shard_id", "x", "y")
+    last = F.max_by("refusal", F.when(F.col("refusal").isNotNull(), order))
+    return validated.agg(F.count("*").alias("proposed"), F.count_if(F.col("refusal").isNull()).alias("admitted"), F.count_if(F.col("refusal").isNotNull()).alias("refused"), last.alias("last_refusal"))
+
+
+def colocate_targets(decisions: DataFrame, placements: DataFrame) -> DataFrame:
+    """`decisions` with target_node of those to colocate: the node that holds their cell (beside_x, beside_y) of the same shard, or null."""
+    held = placements.select(F.col("shard_id").alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("node_id").alias("_held"))
+    there = (F.col("action") == "colocate") & (F.col("shard_id") == F.col("_s")) & (F.col("beside_x") == F.col("_x")) & (F.col("beside_y") == F.col("_y"))
+    target = F.when(F.col("action") == "colocate", F.col("_held")).otherwise(F.col("target_node"))
+    return decisions.join(held, there, "left").withColumn("target_node", target).select(decisions.columns)
 
 
 def cooling(decisions: DataFrame, concluded: DataFrame, now_ms: int, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
@@ -76,33 +88,42 @@ def cooling(decisions: DataFrame, concluded: DataFrame, now_ms: int, policy: Pol
     return decisions.join(recent, ["shard_id", "x", "y"], "left_anti")
 
 
-def admit(validated: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+def admit(validated: DataFrame, active: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """`controller_id, seq, admitted, refusal` of decisions in order: each admitted one counts against those after it.
 
-    A controller's decisions are one group: its limits are global, at most a few actions are under way.
-    `validated` has controller_id, seq, shard_id, x, y, source_node, target_node, refusal.
+    `validated` has controller_id, seq, shard_id, x, y, source_node, target_node, refusal; `active` the same but seq and refusal, of the actions that are
+    under way before. What a controller's limits admit is a few actions, so its state is small.
     """
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        held, load, out = set(), {}, []
-        for r in df.sort_values("seq").itertuples():
-            cell = (r.shard_id, r.x, r.y)
-            why = r.refusal if isinstance(r.refusal, str) else None
-            nodes = [n for n in (r.source_node, r.target_node) if isinstance(n, str)]
-            if why is None and len(held) >= policy.max_in_flight:
-                why = "too_many_in_flight"
-            if why is None and cell in held:
-                why = "conflicting_action"
-            if why is None and any(load.get(n, 0) >= policy.max_per_node for n in nodes):
-                why = "node_overloaded"
-            if why is None:
-                held.add(cell)
-                for n in nodes:
-                    load[n] = load.get(n, 0) + 1
-            out.append((int(r.controller_id), int(r.seq), why is None, why))
-        return pd.DataFrame(out, columns=["controller_id", "seq", "admitted", "refusal"])
-
-    return validated.select("controller_id", "seq", "shard_id", "x", "y", "source_node", "target_node", "refusal").groupBy("controller_id").applyInPandas(run, "controller_id bigint, seq bigint, admitted boolean, refusal string")
+    columns = ["controller_id", "seq", "shard_id", "x", "y", "source_node", "target_node", "refusal"]
+    rows = validated.select(*columns)
+    if active is not None:
+        rows = rows.unionByName(active.select("controller_id", F.lit(-1).cast("bigint").alias("seq"), *columns[2:7], F.lit(None).cast("string").alias("refusal")))
+
+    def run(batches):
+        now, held, load = None, set(), {}
+        for b in batches:
+            out = []
+            for controller, seq, shard, x, y, source, target, refusal in zip(*[b[c].tolist() for c in columns]):
+                if controller != now:
+                    now, held, load = controller, set(), {}
+                cell, nodes = (shard, x, y), [n for n in (source, target) if isinstance(n, str)]
+                why = refusal if isinstance(refusal, str) else None
+                if seq >= 0 and why is None:
+                    if len(held) >= policy.max_in_flight:
+                        why = "too_many_in_flight"
+                    elif cell in held:
+                        why = "conflicting_action"
+                    elif any(load.get(n, 0) >= policy.max_per_node for n in nodes):
+                        why = "node_overloaded"
+                if why is None:
+                    held.add(cell)
+                    for n in nodes:
+                        load[n] = load.get(n, 0) + 1
+                if seq >= 0:
+                    out.append((controller, seq, why is None, why))
+            yield pd.DataFrame(out, columns=["controller_id", "seq", "admitted", "refusal"])
+
+    return folded(rows, ["controller_id"], ["seq", "shard_id", "x", "y"], run, "controller_id bigint, seq bigint, admitted boolean, refusal string")
 
 
 def measure(pairs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
@@ -120,6 +141,50 @@ def measure(pairs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa:
     )
 
 
+def measurement(actions: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+    """`actions` with measured: too_soon before they have settled, measured once there is a pressure_after, else awaiting until the deadline and not_measured after it.
+
+    Needs committed_at_ms, now_ms and pressure_after.
+    """
+    elapsed = F.greatest(F.col("now_ms") - F.col("committed_at_ms"), F.lit(0))
+    out = F.when(elapsed < policy.settle_ms, "too_soon").when(F.col("pressure_after").isNotNull(), "measured").when(elapsed > policy.deadline_ms, "not_measured")
+    return actions.withColumn("measured", out.otherwise("awaiting"))
+
+
+def outcome_report(actions: DataFrame) -> DataFrame:
+    """A row for each action that is over (state, verdict, failure): what came of it, failures with their reason."""
+    result = F.when(F.col("state") == "failed", F.concat(F.lit("failed: "), F.coalesce("failure", F.lit("unknown")))).when(F.col("state") == "rolled_back", "rolled_back").when(F.col("state") == "completed", F.coalesce("verdict", F.lit("not_measured")))
+    return actions.withColumn("result", result).filter("result is not null")
+
+
+def placement_changes(concluded: DataFrame) -> DataFrame:
+    """shard_id, x, y, from_node and to_node of the concluded actions that cut over; of several of a cell the last (by seq)."""
+    moved = concluded.filter(F.col("has_cut_over") & (F.col("target_node") != F.col("source_node")))
+    return moved.groupBy("shard_id", "x", "y").agg(F.max_by("source_node", "seq").alias("from_node"), F.max_by("target_node", "seq").alias("to_node"))
+
+
+def moved_placements(placements: DataFrame, changes: DataFrame) -> DataFrame:
+    """`placements` after changes; one of a cell that has no placement changes nothing."""
+    cell = ["shard_id", "x", "y"]
+    return placements.join(changes.select(*cell, "to_node"), cell, "left").withColumn("node_id", F.coalesce("to_node", "node_id")).select(placements.columns)
+
+
+def to_persist(before: DataFrame, after: DataFrame) -> DataFrame:
+    """shard_id, x, y, expected (the node that the durable record must still name; null: none) and node_id of placements that changed."""
+    cell = ["shard_id", "x", "y"]
+    rows = after.select(*cell, "node_id").join(before.select(*cell, F.col("node_id").alias("expected")), cell, "left")
+    return rows.filter(~F.col("node_id").eqNullSafe(F.col("expected"))).select(*cell, "expected", "node_id")
+
+
+def status_snapshot(fleet: DataFrame, placements: DataFrame, counted: DataFrame, in_flight: DataFrame, now_ms: int) -> DataFrame:
+    """One row: the control plane's state as JSON (`status`), of bounded size: nodes by name, and counts of all that grows."""
+    nodes = fleet.agg(F.sort_array(F.collect_list(F.struct("node_id", "region", "condition", "hosted", "is_full", "accepts"))).alias("nodes"))
+    held = placements.agg(F.count("*").alias("placements"), F.count_distinct("shard_id").alias("shards"))
+    active = in_flight.agg(F.count("*").alias("in_flight"))
+    rows = nodes.join(held).join(active).join(counted.select(F.struct("*").alias("decisions")))
+    return rows.select(F.to_json(F.struct(F.lit(now_ms).alias("now_ms"), "placements", "shards", "in_flight", "decisions", "nodes")).alias("status"))
+
+
 def check_plan(plans: DataFrame, healthy: DataFrame, floor: int = 1) -> DataFrame:
     """plan_id and problem of plans (holders, adds, removes as arrays of nodes, has_cutover).
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ["kind", "data", "owner"]
+#: In the order in which a difference is reported.
+FIELDS = ["kind", "data", "coordinate", "value", "owner", "claimed_by", "visibility"]
 #: Change frames that name addresses; any other frame names none.
 SINGLE = ["node_created", "node_updated", "node_deleted", "node_claimed"]
 
 
-def copy_diff(source: DataFrame, copy: DataFrame, fields: list[str] = FIELDS) -> DataFrame:  # noqa: B006
-    """address and difference (missing, extra, or the first field that differs) of rows that aren't equal."""
+def copy_diff(source: DataFrame, copy: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """address and difference (missing, extra, or the first field that differs) of rows that aren't equal; by default of all FIELDS that both have."""
+    fields = fields or [f for f in FIELDS if f in source.columns and f in copy.columns]
     both = source.select("address", F.struct(*fields).alias("s")).join(copy.select("address", F.struct(*fields).alias("c")), "address", "full_outer")
     what = F.when(F.col("c").isNull(), "missing").when(F.col("s").isNull(), "extra")
     for f in fields:
@@ -19,7 +21,7 @@ def copy_diff(source: DataFrame, copy: DataFrame, fields: list[str] = FIELDS) ->
     return both.select("address", what.alias("difference")).filter("difference is not null")
 
 
-def verify(source: DataFrame, copy: DataFrame, fields: list[str] = FIELDS) -> DataFrame:  # noqa: B006
+def verify(source: DataFrame, copy: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """One row: rows on both sides and what is reported first: a different count, else the first differing address and field."""
     counts = source.agg(F.count("*").alias("source_rows")).join(copy.agg(F.count("*").alias("copy_rows")))
     first = copy_diff(source, copy, fields).agg(F.min(F.struct("address", "difference")).alias("d"))
@@ -43,3 +45,10 @@ def changed_addresses(frames: DataFrame) -> DataFrame:
 
 def stored_bytes(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("rows"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
+def copy_refusal(nodes: DataFrame, edges: DataFrame, cell: str = "cell") -> DataFrame:
+    """cell, edges and refusal of every cell of nodes (address, cell): one that holds the beginning of an edge can't be copied, since an edge out of it has no other end there."""
+    held = nodes.select("address", cell).join(edges.groupBy(F.col("from").alias("address")).agg(F.count("*").alias("n")), "address", "left")
+    total = held.groupBy(cell).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+    return total.withColumn("refusal", F.when(F.col("edges") > 0, "holds_edges"))

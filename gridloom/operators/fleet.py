@@ -80,3 +80,8 @@ def decisions(predicted: DataFrame, placements: DataFrame, fleet: DataFrame) ->
     )
     out = out.withColumn("score", F.col("expected_gain") - F.col("estimated_cost"))
     return out.withColumn("executable", (F.col("action") != "no_action") & (F.col("score") > 0) & (F.col("confidence") >= S.CONFIDENCE_THRESHOLD))
+
+
+def observed_at(samples: DataFrame) -> DataFrame:
+    """shard_id, x, y and observed_at_ms: the newest observation of a cell by whatever node."""
+    return samples.groupBy("shard_id", "x", "y").agg(F.max("timestamp_ms").alias("observed_at_ms"))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import folded
+
 # Lag beyond which a copy is behind, silence after which it has failed.
 MOST_PENDING, MOST_LAG_MS, GRACE_MS = 1000, 5000, 30_000
 #: States that may follow each other.
@@ -91,27 +93,97 @@ def fold_reports(replicas: DataFrame, reports: DataFrame) -> DataFrame:
     A report older than the newest is ignored; an unreachable copy fails after the grace time; secondaries go between
     in_sync and lagging by their lag. Each replica's reports are independent of all others'.
     """
+    columns = ["shard_id", "node_id", "role", "state", "seq", "timestamp_ms", "pending_writes", "apply_lag_ms", "reachable"]
+    named = ["shard_id", "node_id", "role", "state", "pending_writes", "apply_lag_ms", "last_report_ms", "ignored"]
+    own = replicas.select("shard_id", "node_id", "role", "state", F.lit(-1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("timestamp_ms"), "pending_writes", "apply_lag_ms", F.lit(True).alias("reachable"))
+    told = reports.select("shard_id", "node_id", F.lit("").alias("role"), F.lit("").alias("state"), "seq", "timestamp_ms", "pending_writes", "apply_lag_ms", "reachable")
+
+    def run(batches):
+        now = held = last = since = None
+        ignored = 0
+
+        def row():
+            return (int(now[0]), now[1], *held, last, ignored)
+
+        for b in batches:
+            out = []
+            for shard, node, role, state, seq, at, pending, lag, reachable in zip(*[b[c].tolist() for c in columns]):
+                if (shard, node) != now:
+                    if held:
+                        out.append(row())
+                    now, held, last, since, ignored = (shard, node), None, None, None, 0
+                if seq < 0:
+                    held = [role, state, int(pending), int(lag)]
+                elif held is None:
+                    continue  # a report on no replica
+                elif last is not None and at < last:
+                    ignored += 1
+                elif not reachable:
+                    last = int(at)
+                    since = last if since is None else since
+                    if last - since >= GRACE_MS and held[1] != "absent":
+                        held[1] = "failed"
+                else:
+                    last, since = int(at), None
+                    held[2:] = int(pending), int(lag)
+                    behind = pending > MOST_PENDING or lag > MOST_LAG_MS
+                    if held[0] != "primary":
+                        held[1] = {("in_sync", True): "lagging", ("lagging", False): "in_sync"}.get((held[1], behind), held[1])
+            yield pd.DataFrame(out, columns=named)
+        if held:
+            yield pd.DataFrame([row()], columns=named)
+
     schema = "shard_id bigint, node_id string, role string, state string, pending_writes bigint, apply_lag_ms bigint, last_report_ms bigint, ignored bigint"
+    return folded(own.unionByName(told), ["shard_id", "node_id"], ["seq"], run, schema)
 
-    def run(key, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame([], columns=["shard_id", "node_id", "role", "state", "pending_writes", "apply_lag_ms", "last_report_ms", "ignored"])
-        r = own.iloc[0]
-        state, pending, lag, last, since, ignored = r["state"], int(r["pending_writes"]), int(r["apply_lag_ms"]), None, None, 0
-        for t in told.sort_values("seq").itertuples():
-            if last is not None and t.timestamp_ms < last:
-                ignored += 1
-                continue
-            last = int(t.timestamp_ms)
-            if not t.reachable:
-                since = last if since is None else since
-                if last - since >= GRACE_MS and state != "absent":
-                    state = "failed"
-                continue
-            since, pending, lag = None, int(t.pending_writes), int(t.apply_lag_ms)
-            behind = pending > MOST_PENDING or lag > MOST_LAG_MS
-            if r["role"] != "primary":
-                state = {("in_sync", True): "lagging", ("lagging", False): "in_sync"}.get((state, behind), state)
-        return pd.DataFrame([(int(key[0]), key[1], r["role"], state, pending, lag, last, ignored)], columns=["shard_id", "node_id", "role", "state", "pending_writes", "apply_lag_ms", "last_report_ms", "ignored"])
 
-    return replicas.groupBy("shard_id", "node_id").cogroup(reports.groupBy("shard_id", "node_id")).applyInPandas(run, schema)
+#: From each state of a replica those that an operation may bring it to.
+_SEEDABLE, _SYNCABLE = {"absent", "failed", "lagging"}, {"seeding", "lagging"}
+
+
+def fold_operations(operations: DataFrame) -> DataFrame:
+    """shard_id, seq, refusal and replicas (node=role:state, by node) after each operation on a shard's replica set, in order of seq.
+
+    `operations` has shard_id, seq, op (add, begin_seed, mark_in_sync, mark_failed, promote, remove) and node; the first node added to a set is its
+    primary and in sync. Promoting changes the roles of the two. A refused operation changes nothing.
+    """
+
+    def why_not(held: dict, op: str, node: str) -> str | None:
+        if op == "add":
+            return "duplicate_replica" if node in held else None
+        if node not in held:
+            return "unknown_replica"
+        role, state = held[node]
+        if op == "begin_seed":
+            return "primary_cannot_seed" if role == "primary" else None if state in _SEEDABLE else "illegal_transition"
+        if op == "mark_in_sync":
+            return None if state in _SYNCABLE else "illegal_transition"
+        if op == "mark_failed":
+            return "illegal_transition" if state in ("absent", "failed") else None
+        if op == "promote":
+            return "already_primary" if role == "primary" else None if state == "in_sync" else "not_in_sync"
+        if op == "remove":
+            return "primary_not_removable" if role == "primary" else None
+        raise ValueError(f"unknown operation: {op}")
+
+    def run(batches):
+        now, held = None, {}
+        for b in batches:
+            out = []
+            for shard, seq, op, node in zip(*[b[c].tolist() for c in ("shard_id", "seq", "op", "node")]):
+                if shard != now:
+                    now, held = shard, {}
+                refusal = why_not(held, op, node)
+                if refusal is None:
+                    if op == "add":
+                        held[node] = ("secondary", "absent") if held else ("primary", "in_sync")
+                    elif op == "remove":
+                        del held[node]
+                    elif op == "promote":
+                        held = {n: ("primary" if n == node else "secondary", s) for n, (_, s) in held.items()}
+                    else:
+                        held[node] = (held[node][0], {"begin_seed": "seeding", "mark_in_sync": "in_sync", "mark_failed": "failed"}[op])
+                out.append((shard, seq, refusal, ",".join(f"{n}={r}:{s}" for n, (r, s) in sorted(held.items()))))
+            yield pd.DataFrame(out, columns=["shard_id", "seq", "refusal", "replicas"])
+
+    return folded(operations.select("shard_id", "seq", "op", "node"), ["shard_id"], ["seq"], run, "shard_id bigint, seq bigint, refusal string, replicas string")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import folded
 from .keyspace import resolve
 
 PAGE, MOST_PAGES, MOST_ADDRESSES = 500, 10_000, 1000
@@ -101,11 +102,6 @@ def versions(log: DataFrame) -> DataFrame:
     return rows.withColumn("version", F.when(F.col("op") == "set", number)).withColumn("is_current", F.col("last") & (F.col("op") == "set")).drop("last")
 
 
-def _folded(rows: DataFrame, keys: list[str], order: list[str], run, schema: str) -> DataFrame:
-    """`run` over rows that come sorted, all of one key in a row: a key's state is all that a task holds, however many rows a key has."""
-    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 _ASKED = ["address", "seq", "field", "expect_le", "expect_eq", "expect_absent", "set", "data"]
 
 
@@ -141,7 +137,7 @@ def set_if(nodes: DataFrame, requests: DataFrame) -> DataFrame:
                 out.append((address, seq, ok, json.dumps(held)))
             yield pd.DataFrame(out, columns=["address", "seq", "applied", "data"])
 
-    return _folded(rows, ["address"], ["seq"], run, "address string, seq bigint, applied boolean, data string")
+    return folded(rows, ["address"], ["seq"], run, "address string, seq bigint, applied boolean, data string")
 
 
 _OPERATION = ["scope", "tx_id", "position", "type", "address", "to", "expect_eq", "set"]
@@ -208,7 +204,7 @@ def transactions(operations: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["tx_id", "status", "changed"])
 
     rows = operations if "to" in operations.columns else operations.withColumn("to", F.lit(None).cast("string"))
-    return _folded(rows.select(*_OPERATION), ["scope"], ["tx_id", "position"], run, "tx_id bigint, status int, changed bigint")
+    return folded(rows.select(*_OPERATION), ["scope"], ["tx_id", "position"], run, "tx_id bigint, status int, changed bigint")
 
 
 def remove(nodes: DataFrame, edges: DataFrame, kind: str, predicate: Column | None = None, writer: str | None = None) -> tuple[DataFrame, DataFrame]:

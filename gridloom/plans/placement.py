@@ -111,7 +111,7 @@ def validate_decisions(spark, sf_dir):
     return _validated(spark, sf_dir).select("shard_id", "x", "y", "seq", "action", "refusal")
 
 
-@query(P.cells("days", _ACTIVE, _ASKED, _VALID) + "SELECT count(*) AS proposed, count(*) FILTER (refusal IS NULL) AS admitted, count(*) FILTER (refusal IS NOT NULL) AS refused FROM judged")
+@query(P.cells("days", _ACTIVE, _ASKED, _VALID) + "SELECT count(*) AS proposed, count(*) FILTER (refusal IS NULL) AS admitted, count(*) FILTER (refusal IS NOT NULL) AS refused, arg_max(refusal, (seq, shard_id, x, y)) FILTER (refusal IS NOT NULL) AS last_refusal FROM judged")
 def decision_counters(spark, sf_dir):
     return control.counters(_validated(spark, sf_dir))
 
@@ -120,7 +120,8 @@ def decision_counters(spark, sf_dir):
 def admission_fold(spark, sf_dir):
     """Each day's decisions admitted in order by one controller per region of seq."""
     rows = _validated(spark, sf_dir).withColumn("controller_id", F.floor(F.col("seq") / 5000).cast("bigint"))
-    return control.admit(rows)
+    active = spark.createDataFrame([(0, 0, 3, 0, "NATION_0", None)], "controller_id bigint, shard_id bigint, x int, y int, source_node string, target_node string")
+    return control.admit(rows, active)
 
 
 @query(P.cells("days", "concluded AS (SELECT shard_id, x, y, seq AS concluded_at FROM cell_days WHERE queue_depth > 0)") + "SELECT d.shard_id, d.x, d.y, d.seq FROM decisions d WHERE d.likely_hot AND NOT EXISTS (FROM (SELECT shard_id, x, y, max(concluded_at) AS at FROM concluded GROUP BY ALL) c WHERE c.shard_id = d.shard_id AND c.x = d.x AND c.y = d.y AND 100000 - c.at < 60000)")
@@ -148,13 +149,82 @@ def outcome_verdicts(spark, sf_dir):
     return control.measure(pairs).select(*CELL, "seq", "realized_gain", "gain_ratio", "prediction_error", "latency_delta_us", "throughput_delta", "verdict")
 
 
-@query("""SELECT CAST(i AS BIGINT) AS plan_id, CASE WHEN i % 5 = 0 THEN 'empty_plan' WHEN i % 4 = 1 AND i % 3 = 0 THEN 'removal_without_cutover' WHEN i % 7 = 0 THEN 'destination_unhealthy' WHEN i % 4 = 1 AND i % 11 = 0 THEN 'removes_not_held' END AS problem FROM range(1, 400) t(i)""")
+@query("""SELECT CAST(i AS BIGINT) AS plan_id, CASE WHEN i % 5 = 0 THEN 'empty_plan' WHEN i % 4 = 1 AND i % 3 = 0 THEN 'removal_without_cutover' WHEN i % 7 = 0 THEN 'destination_unhealthy' WHEN i % 4 = 1 AND i % 11 = 0 THEN 'removes_not_held' END AS problem,
+array_to_string(list_filter(list_concat(['a', 'b'], CASE WHEN i % 5 = 0 THEN [] WHEN i % 7 = 0 THEN ['sick'] ELSE ['c'] END), lambda h: NOT (h = 'a' AND i % 5 <> 0 AND i % 4 = 1 AND i % 11 <> 0)), ',') AS projected FROM (SELECT o_orderkey AS i FROM orders)""")
 def plan_checks(spark, sf_dir):
     i = F.col("id")
     empty = F.array().cast("array<string>")
-    plans = spark.range(1, 400).select(
+    plans = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).select(
         i.alias("plan_id"), F.array(F.lit("a"), F.lit("b")).alias("holders"),
         F.when(i % 5 == 0, empty).when(i % 7 == 0, F.array(F.lit("sick"))).otherwise(F.array(F.lit("c"))).alias("adds"),
         F.when((i % 5 == 0) | (i % 4 != 1), empty).when(i % 11 == 0, F.array(F.lit("z"))).otherwise(F.array(F.lit("a"))).alias("removes"), (i % 3 != 0).alias("has_cutover"),
     )
-    return control.check_plan(plans, spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")).select("plan_id", "problem")
+    return control.check_plan(plans, spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")).select("plan_id", "problem", F.array_join("projected", ",").alias("projected"))
+
+
+@query(P.cells("days") + "SELECT shard_id, x, y, max(timestamp_ms) AS observed_at_ms FROM cell_days GROUP BY ALL")
+def observed_at(spark, sf_dir):
+    """When each cell was last observed by any node."""
+    return fleet.observed_at(T.cell_telemetry(spark, sf_dir))
+
+
+_LATEST = "held AS (SELECT shard_id, x, y, arg_max(node_id, seq) AS node_id FROM cell_days GROUP BY ALL)"
+
+
+@query(P.cells("days", _LATEST) + "SELECT c.shard_id, c.x, c.y, c.seq, h.node_id AS target_node FROM cell_days c LEFT JOIN held h ON h.shard_id = c.shard_id AND h.x = (c.x + 1) % 12 AND h.y = c.y")
+def colocate_targets(spark, sf_dir):
+    """Every sample's cell as one to be put beside its right neighbour."""
+    days = T.cell_telemetry(spark, sf_dir)
+    asked = days.select(*CELL, "seq", F.lit("colocate").alias("action"), ((F.col("x") + 1) % 12).alias("beside_x"), F.col("y").alias("beside_y"), F.lit(None).cast("string").alias("target_node"))
+    return control.colocate_targets(asked, latest(days, CELL)).select(*CELL, "seq", "target_node")
+
+
+_DAY = 86_400_000
+_GATED = f"""gated AS (SELECT shard_id, x, y, seq, lag(timestamp_ms) OVER w AS committed, timestamp_ms AS now, lag(pressure) OVER w - pressure AS gain, x % 3 > 0 AS seen FROM predicted WINDOW w AS (PARTITION BY shard_id, x, y ORDER BY seq)),
+judged AS (SELECT *, CASE WHEN now - committed < {2 * _DAY} THEN 'too_soon' WHEN seen THEN 'measured' WHEN now - committed > {5 * _DAY} THEN 'not_measured' ELSE 'awaiting' END AS measured FROM gated WHERE committed IS NOT NULL)"""
+
+
+def _gated(spark, sf_dir):
+    w = Window.partitionBy(*CELL).orderBy("seq")
+    rows = profiles(spark, sf_dir).select(*CELL, "seq", F.lag("timestamp_ms").over(w).alias("committed_at_ms"), F.col("timestamp_ms").alias("now_ms"), F.lag("pressure").over(w).alias("pressure_before"), F.when(F.col("x") % 3 > 0, F.col("pressure")).alias("pressure_after"))
+    return control.measurement(rows.filter("committed_at_ms is not null"), control.Policy(settle_ms=2 * _DAY, deadline_ms=5 * _DAY))
+
+
+@query(P.cells("days", _GATED) + "SELECT shard_id, x, y, seq, measured FROM judged")
+def measurement_gates(spark, sf_dir):
+    """Each sample as an action's first look at what it did, with two days to settle and a deadline of five."""
+    return _gated(spark, sf_dir).select(*CELL, "seq", "measured")
+
+
+@query(P.cells("days", _GATED) + f"SELECT result, count(*) AS actions FROM (SELECT CASE WHEN seq % 11 = 0 THEN 'failed: lost' WHEN measured = 'not_measured' THEN measured WHEN measured = 'measured' THEN CASE WHEN gain > {P.d(0.02)} THEN 'improved' WHEN gain < {P.d(-0.02)} THEN 'regressed' ELSE 'unchanged' END END AS result FROM judged) WHERE result IS NOT NULL GROUP BY result")
+def outcome_reports(spark, sf_dir):
+    """What came of all actions that are over, by result."""
+    rows = control.measure(_gated(spark, sf_dir).withColumns({"expected_gain": F.lit(0.0), "latency_before": F.lit(0.0), "latency_after": F.lit(0.0), "operations_before": F.lit(0.0), "operations_after": F.lit(0.0)}))
+    over = F.col("measured").isin("measured", "not_measured")
+    state = F.when(F.col("seq") % 11 == 0, "failed").when(over, "completed").otherwise("awaiting")
+    rows = rows.select("seq", state.alias("state"), F.when(F.col("measured") == "measured", F.col("verdict")).alias("verdict"), F.lit("lost").alias("failure"))
+    return control.outcome_report(rows).groupBy("result").agg(F.count("*").alias("actions"))
+
+
+_MOVES = _LATEST + """, moves AS (SELECT shard_id, x, y, arg_max(target_node, seq) AS to_node FROM decisions d JOIN (SELECT shard_id, x, y, node_id AS source FROM held) USING (shard_id, x, y) WHERE target_node IS NOT NULL AND target_node <> source GROUP BY ALL)"""
+
+
+@query(P.cells("days", _MOVES) + "SELECT h.shard_id, h.x, h.y, h.node_id AS expected, to_node AS node_id FROM held h JOIN moves USING (shard_id, x, y)")
+def persisted_moves(spark, sf_dir):
+    """The durable records to change once every decision that names a destination is concluded."""
+    nodes, held = _fleet(spark, sf_dir)
+    asked = fleet.decisions(profiles(spark, sf_dir, latest=False), held, nodes).filter("target_node is not null").select(*CELL, "seq", "target_node")
+    concluded = asked.join(held.select(*CELL, F.col("node_id").alias("source_node")), CELL).withColumn("has_cut_over", F.lit(True))
+    after = control.moved_placements(held, control.placement_changes(concluded))
+    return control.to_persist(held, after)
+
+
+@query(P.cells("days", _ACTIVE) + "SELECT (SELECT count(*) FROM placements) AS placements, (SELECT count(DISTINCT shard_id) FROM placements) AS shards, 4::BIGINT AS in_flight, (SELECT count(*) FROM fleet) AS nodes")
+def status_snapshot(spark, sf_dir):
+    """The state of the control plane as JSON, read back."""
+    nodes, held = _fleet(spark, sf_dir)
+    counted = control.counters(_validated(spark, sf_dir))
+    active = spark.range(4)
+    made = control.status_snapshot(nodes, held, counted, active, _NOW)
+    field = lambda n: F.get_json_object("status", f"$.{n}")
+    return made.select(field("placements").cast("bigint").alias("placements"), field("shards").cast("bigint").alias("shards"), field("in_flight").cast("bigint").alias("in_flight"), F.json_array_length(field("nodes")).cast("bigint").alias("nodes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import keyspace, migration, replication, requests, routing
 from ..sources import tables as T
@@ -298,6 +299,20 @@ def scoped_migrations(spark, sf_dir):
     return routing.scoped(cells, moves.filter("x is not null"), moves.filter("x is null"), ["destination"])
 
 
+@query("SELECT l_orderkey AS shard_id, CAST(least(c, 2) AS BIGINT) AS replicas, CAST(CASE WHEN c > 1 THEN c - 1 ELSE 5 END AS BIGINT) AS refused FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) AS c FROM lineitem GROUP BY 1)")
+def replica_operations(spark, sf_dir):
+    """Each order's lines as copies to add, of which all but two repeat a node; then the second is seeded, put in sync and promoted, the first can be removed no more
+    once it is promoted again, and the set is counted."""
+    line = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("shard_id"), "l_linenumber").distinct()
+    line = line.select("shard_id", F.row_number().over(Window.partitionBy("shard_id").orderBy("l_linenumber")).cast("bigint").alias("n"))
+    adds = line.select("shard_id", F.col("n").alias("seq"), F.lit("add").alias("op"), F.when(F.col("n") == 1, "a").otherwise("b").alias("node"))
+    script = F.array(*[F.struct(F.lit(100 + i).cast("bigint").alias("seq"), F.lit(op).alias("op"), F.lit(node).alias("node")) for i, (op, node) in enumerate([("begin_seed", "b"), ("mark_in_sync", "b"), ("promote", "b"), ("promote", "a"), ("remove", "a")])])
+    rest = line.select("shard_id").distinct().select("shard_id", F.explode(script).alias("s")).select("shard_id", "s.*")
+    done = replication.fold_operations(adds.unionByName(rest))
+    out = done.groupBy("shard_id").agg(F.max_by("replicas", "seq").alias("last"), F.count_if(F.col("refusal").isNotNull()).alias("refused"))
+    return out.select("shard_id", F.size(F.split("last", ",")).cast("bigint").alias("replicas"), "refused")
+
+
 @query()
 def migration_fold(spark, sf_dir):
     """Each order's migration: its lines are writes, then copy, catch-up and cutover."""

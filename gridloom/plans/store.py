@@ -225,17 +225,33 @@ def declared_indexes(spark, sf_dir):
 
 def _pair(spark, sf_dir):
     """The orders and a copy that misses some, differs in some, and has some of its own."""
-    o = T.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Order:"), "o_orderkey").alias("address"), F.lit("Order").alias("kind"), F.concat(F.lit("Customer:"), "o_custkey").alias("owner"), F.col("o_orderstatus").alias("data"))
     k = F.col("o_orderkey")
-    copy = o.filter(k % 97 != 5).withColumn("data", F.when(k % 89 == 7, "?").otherwise(F.col("data"))).withColumn("owner", F.when(k % 83 == 11, "nobody").otherwise(F.col("owner")))
+    o = T.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("Order:"), "o_orderkey").alias("address"), F.lit("Order").alias("kind"), F.concat(F.lit("Customer:"), "o_custkey").alias("owner"), F.col("o_orderstatus").alias("data"),
+        F.struct((k % 12).alias("x"), (k % 13).alias("y")).alias("coordinate"), k.cast("bigint").alias("value"), F.when(k % 7 == 0, F.lit("worker")).alias("claimed_by"), F.lit("public").alias("visibility"),
+    )
+    copy = o.filter(k % 97 != 5).withColumns({
+        "data": F.when(k % 89 == 7, "?").otherwise(F.col("data")), "owner": F.when(k % 83 == 11, "nobody").otherwise(F.col("owner")), "value": F.when(k % 79 == 3, k + 1).otherwise(F.col("value")),
+        "coordinate": F.when(k % 73 == 2, F.struct((k % 12).alias("x"), (k % 13 + 1).alias("y"))).otherwise(F.col("coordinate")), "claimed_by": F.when(k % 71 == 0, None).otherwise(F.col("claimed_by")), "visibility": F.when(k % 67 == 1, "private").otherwise(F.col("visibility")),
+    })
     ghosts = o.filter(k % 101 == 3).withColumn("address", F.concat(F.lit("Order:-"), "o_orderkey"))
     return o, copy.unionByName(ghosts)
 
 
-_PAIR = """WITH source AS (SELECT o_orderkey, 'Order:' || o_orderkey AS address, 'Order' AS kind, 'Customer:' || o_custkey AS owner, o_orderstatus AS data FROM orders),
-copy AS (SELECT o_orderkey, address, kind, CASE WHEN o_orderkey % 83 = 11 THEN 'nobody' ELSE owner END AS owner, CASE WHEN o_orderkey % 89 = 7 THEN '?' ELSE data END AS data FROM source WHERE o_orderkey % 97 <> 5
-  UNION ALL SELECT o_orderkey, 'Order:-' || o_orderkey, kind, owner, data FROM source WHERE o_orderkey % 101 = 3),
-diff AS (SELECT address, CASE WHEN c.kind IS NULL THEN 'missing' WHEN s.kind IS NULL THEN 'extra' WHEN s.kind <> c.kind THEN 'kind' WHEN s.data <> c.data THEN 'data' WHEN s.owner <> c.owner THEN 'owner' END AS difference FROM source s FULL JOIN copy c USING (address)) """
+_PAIR = """WITH source AS (SELECT o_orderkey AS k, 'Order:' || o_orderkey AS address, 'Order' AS kind, 'Customer:' || o_custkey AS owner, o_orderstatus AS data, o_orderkey AS value, o_orderkey % 13 AS y, CASE WHEN o_orderkey % 7 = 0 THEN 'worker' END AS claimed_by, 'public' AS visibility FROM orders),
+copy AS (SELECT k, address, kind, CASE WHEN k % 83 = 11 THEN 'nobody' ELSE owner END AS owner, CASE WHEN k % 89 = 7 THEN '?' ELSE data END AS data, CASE WHEN k % 79 = 3 THEN value + 1 ELSE value END AS value, CASE WHEN k % 73 = 2 THEN y + 1 ELSE y END AS y,
+  CASE WHEN k % 71 = 0 THEN NULL ELSE claimed_by END AS claimed_by, CASE WHEN k % 67 = 1 THEN 'private' ELSE visibility END AS visibility FROM source WHERE k % 97 <> 5
+  UNION ALL SELECT k, 'Order:-' || k, kind, owner, data, value, y, claimed_by, visibility FROM source WHERE k % 101 = 3),
+diff AS (SELECT address, CASE WHEN c.kind IS NULL THEN 'missing' WHEN s.kind IS NULL THEN 'extra' WHEN s.kind <> c.kind THEN 'kind' WHEN s.data <> c.data THEN 'data' WHEN s.y <> c.y THEN 'coordinate' WHEN s.value <> c.value THEN 'value' WHEN s.owner <> c.owner THEN 'owner'
+  WHEN s.claimed_by IS DISTINCT FROM c.claimed_by THEN 'claimed_by' WHEN s.visibility <> c.visibility THEN 'visibility' END AS difference FROM source s FULL JOIN copy c USING (address)) """
+
+
+@query("WITH e AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey % 25 AS cell, n FROM orders LEFT JOIN e ON l_orderkey = o_orderkey UNION ALL SELECT 25 + p_partkey % 25, NULL FROM part) SELECT CAST(cell AS BIGINT) AS cell, CAST(coalesce(sum(n), 0) AS BIGINT) AS edges, CASE WHEN sum(n) > 0 THEN 'holds_edges' END AS refusal FROM a GROUP BY cell")
+def copy_refusals(spark, sf_dir):
+    """Cells of orders, which have edges to parts, and cells of parts, which have none."""
+    orders = T.table(spark, sf_dir, "orders").select(F.concat(F.lit("Order:"), "o_orderkey").alias("address"), (F.col("o_orderkey") % 25).cast("bigint").alias("cell"))
+    parts = T.table(spark, sf_dir, "part").select(F.concat(F.lit("Part:"), "p_partkey").alias("address"), (F.col("p_partkey") % 25 + 25).cast("bigint").alias("cell"))
+    return diffsync.copy_refusal(orders.union(parts), T.store_edges(spark, sf_dir))
 
 
 @query(_PAIR + "SELECT address, difference FROM diff WHERE difference IS NOT NULL")

@@ -1,10 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import scoring as S
 from gridloom.functions import simulation
-from gridloom.operators import control, diffsync, migration, profile, rates, replication, requests, store
+from gridloom.operators import control, diffsync, migration, profile, rates, replication, requests, routing, store
 from gridloom.sources.session import encode, messages, read_session
+from gridloom.streaming import fold
 
 LOAD = "cpu_utilization double, memory_utilization double, queue_depth bigint, read_latency_us double, write_latency_us double, reads double, writes double"
 
@@ -153,3 +156,50 @@ def test_verify_reports_the_count_first(spark):
     assert diffsync.verify(a, a.filter("address = 'x'")).first()["reason"] == "count"
     assert diffsync.verify(a, a.withColumn("data", F.lit("z"))).first()["reason"] == "data:x"
     assert diffsync.verify(a, a).first()["reason"] is None
+
+
+def test_set_if_merges_and_knows_three_expectations(spark):
+    nodes = spark.createDataFrame([("n", '{"rev": 1, "kept": "x"}')], "address string, data string")
+    asked = [("n", 1, "rev", None, "1", None, '{"rev": 2}'), ("n", 2, "rev", None, "1", None, '{"rev": 9}'), ("n", 3, "rev", 2.0, None, None, '{"lease": 5}'), ("n", 4, "lease", 4.0, None, None, "{}"), ("n", 5, "kept", 9.0, None, None, "{}"), ("n", 6, "new", None, None, True, '{"new": null}'), ("n", 7, "new", None, None, True, '{"new": 1}'), ("m", 1, "a", None, None, True, '{"a": 1}')]
+    rows = spark.createDataFrame(asked, "address string, seq bigint, field string, expect_le double, expect_eq string, expect_absent boolean, set string")
+    got = store.set_if(nodes, rows).orderBy("address", "seq").collect()
+    assert [r["applied"] for r in got] == [True, True, False, True, False, False, True, True]
+    assert json.loads(got[-1]["data"]) == {"rev": 2, "kept": "x", "lease": 5, "new": 1}
+
+
+def test_transactions_leave_all_or_nothing(spark):
+    ops = [(1, 0, "create", "A:1", None), (1, 1, "insert_node", "B:1", None), (1, 2, "insert_edge", "A:1", "B:1"), (2, 0, "clear_kind", "B", None), (2, 1, "delete_edge", "A:1", "C:1"), (3, 0, "delete_node", "B:1", None), (4, 0, "insert_edge", "A:1", "B:1"), (5, 0, "clear_kind", "A", None), (6, 0, "create", "A:1", None)]
+    df = spark.createDataFrame([("s", t, p, k, a, b, None, "{}") for t, p, k, a, b in ops], "scope string, tx_id bigint, position int, type string, address string, to string, expect_eq string, set string")
+    got = [(r["status"], r["changed"]) for r in store.transactions(df).orderBy("tx_id").collect()]
+    assert got == [(200, 3), (412, 0), (200, 1), (412, 0), (200, 1), (200, 1)]
+
+
+def test_replica_operations(spark):
+    script = [("add", "a"), ("add", "a"), ("begin_seed", "a"), ("add", "b"), ("promote", "b"), ("mark_in_sync", "b"), ("begin_seed", "b"), ("mark_in_sync", "b"), ("promote", "b"), ("remove", "b"), ("remove", "a"), ("mark_failed", "z")]
+    df = spark.createDataFrame([(1, i, op, n) for i, (op, n) in enumerate(script)], "shard_id bigint, seq bigint, op string, node string")
+    got = replication.fold_operations(df).orderBy("seq").collect()
+    assert [r["refusal"] for r in got] == [None, "duplicate_replica", "primary_cannot_seed", None, "not_in_sync", "illegal_transition", None, None, None, "primary_not_removable", None, "unknown_replica"]
+    assert got[-1]["replicas"] == "b=primary:in_sync"
+
+
+def test_active_actions_count_against_decisions(spark):
+    kind = "controller_id bigint, seq bigint, shard_id bigint, x int, y int, source_node string, target_node string, refusal string"
+    rows = spark.createDataFrame([(1, 1, 1, 0, 0, "a", "b", None), (1, 2, 1, 1, 0, "a", "c", None), (1, 3, 1, 2, 0, "d", None, "stale")], kind)
+    active = spark.createDataFrame([(1, 0, 1, 0, 0, "a", "z", None)], kind)
+    assert [r["refusal"] for r in control.admit(rows, active).orderBy("seq").collect()] == ["conflicting_action", None, "stale"]
+
+
+def test_destination_counts_in_its_own_region(spark):
+    entries = spark.createDataFrame([(1, "a", "east"), (2, "q", "east")], "shard_id bigint, owner string, region string")
+    replicas = spark.createDataFrame([(1, "a", "east", "primary", "in_sync"), (1, "b", "west", "secondary", "in_sync"), (2, "q", "east", "primary", "failed")], "shard_id bigint, node_id string, region string, role string, state string")
+    moves = spark.createDataFrame([(1, "a", "d", True)], "shard_id bigint, source string, destination string, has_cut_over boolean")
+    nodes = spark.createDataFrame([("a", "east"), ("b", "west"), ("d", "west"), ("q", "east")], "node_id string, region string")
+    got = routing.read_candidates(entries, replicas, moves, "prefer_region", "west", nodes).orderBy("shard_id", "rank").collect()
+    assert [(r["shard_id"], r["node_id"], r["error"]) for r in got] == [(1, "d", None), (1, "b", None), (2, None, "no_readable_replica")]
+
+
+def test_a_feed_that_ends_fails_the_union(spark):
+    feed = lambda *rows: spark.createDataFrame(rows, "seq bigint, address string, ended boolean")
+    assert fold.fan_in([feed((1, "a", False)), feed((2, "b", False))]).count() == 2
+    with pytest.raises(Exception, match="has ended"):
+        fold.fan_in([feed((1, "a", False)), feed((2, "b", True))]).collect()
