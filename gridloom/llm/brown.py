@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columns as C
-from .storage import kept
+from .storage import dropped, kept
 
 END = np.uint64(1)
 FLUSH = 1 << 18
@@ -120,7 +120,8 @@ def _count_words(train: DataFrame, shapes: int) -> DataFrame:
     return kept(C.dealt(dealt, spark).mapInArrow(meet, "word bigint, shape int, n bigint"))
 
 
-_SIDES = ["left", "right", "n"]
+_SIDES, _KINDS = ["left", "right", "n"], [np.int32, np.int32, np.int64]
+_IN = [f"in_{s}" for s in _SIDES]
 
 
 def _count_pairs(train: DataFrame, words, shapes: int, tokens: int) -> DataFrame:
@@ -128,7 +129,7 @@ def _count_pairs(train: DataFrame, words, shapes: int, tokens: int) -> DataFrame
     end with one (in_left, in_right, in_n). The end also stands before a text."""
     spark = train.sparkSession
     size = len(words.value) + shapes
-    buckets = min(size, max(FINE * C.partitions(spark), tokens >> 22))
+    buckets = min(size, max(2 * FINE * C.partitions(spark), tokens >> 22))
     step = -(-size // buckets)
 
     def merged(parts):
@@ -148,35 +149,46 @@ def _count_pairs(train: DataFrame, words, shapes: int, tokens: int) -> DataFrame
             before[at[:-1]] = np.searchsorted(words.value, END)
             parts.append(np.unique(before * size + symbols, return_counts=True))
             held += len(parts[-1][0])
-            if held >= FLUSH * 4:
+            if held >= FLUSH * 2:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
-                if held >= FLUSH * 2:
+                if held >= FLUSH:
                     yield rows(*parts[0])
                     parts, held = [], 0
         if parts:
             yield rows(*merged(parts))
 
+    def row(k, left, right, n, in_left, in_right, in_n):
+        columns = [left.astype(np.int32), right.astype(np.int32), n, in_left.astype(np.int32), in_right.astype(np.int32), in_n]
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=["bucket", *_SIDES, *_IN])
+
+    none = np.zeros(0, dtype=np.int64)
+
     def meet(batches):
-        for k, (left, right, n) in C.each_bucket(batches, _SIDES, [np.int32, np.int32, np.int64]):
+        for k, (left, right, n) in C.each_bucket(batches, _SIDES, _KINDS):
             pairs, n = merged([(left.astype(np.int64) * size + right, n)])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (*np.divmod(pairs, size), n)]], names=["bucket", *_SIDES])
+            yield row(k, *np.divmod(pairs, size), n, none, none, none)
 
     def turned(batches):
-        """Pairs again, dealt by what they end with."""
+        """Each row, and its pairs again, dealt by what they end with."""
         for b in batches:
-            for x, y, n in zip(*(b.column(s).to_pylist() for s in _SIDES)):
-                pairs = np.frombuffer(x, np.int64) * size + np.frombuffer(y, np.int64)
-                yield rows(pairs, np.frombuffer(n, np.int64), by_right=True)
+            for i in range(b.num_rows):
+                left, right, n = (np.frombuffer(b.column(s)[i].as_buffer(), t) for s, t in zip(_SIDES, _KINDS))
+                back = rows(left.astype(np.int64) * size + right, n, by_right=True)
+                empty = [pa.array([b""] * back.num_rows, pa.binary())] * 3
+                yield pa.RecordBatch.from_arrays([back.column("bucket"), *empty, *[back.column(s) for s in _SIDES]], names=["bucket", *_SIDES, *_IN])
+                yield b.slice(i, 1)
 
     def gathered(batches):
-        for k, (left, right, n) in C.each_bucket(batches, _SIDES, [np.int32, np.int32, np.int64]):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (left.astype(np.int64), right.astype(np.int64), n)]], names=["bucket", *_SIDES])
+        for k, own in C.each_bucket(batches, [*_SIDES, *_IN], [*_KINDS, *_KINDS]):
+            yield row(k, *own)
 
     schema = "bucket int, left binary, right binary, n binary"
-    follow = kept(C.dealt(train.select("text").mapInArrow(deal, schema), spark).mapInArrow(meet, schema))
-    precede = C.dealt(follow.mapInArrow(turned, schema), spark).mapInArrow(gathered, schema).toDF("bucket", *[f"in_{s}" for s in _SIDES])
-    return kept(follow.join(precede, "bucket", "full"))
+    both = f"{schema}, in_left binary, in_right binary, in_n binary"
+    follow = kept(C.dealt(train.select("text").mapInArrow(deal, schema), spark).mapInArrow(meet, both))
+    out = kept(C.dealt(follow.mapInArrow(turned, both), spark).mapInArrow(gathered, both))
+    dropped(follow)
+    return out
 
 
 def _found(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,10 +258,9 @@ def _joint(pairs: DataFrame, of, classes: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(classes * classes, dtype=np.int64)
         for b in batches:
-            for x, y, n in zip(*(b.column(s).to_pylist() for s in _SIDES)):
-                if x:
-                    at = of.value[np.frombuffer(x, np.int64)].astype(np.int64) * classes + of.value[np.frombuffer(y, np.int64)]
-                    total += np.bincount(at, weights=np.frombuffer(n, np.int64), minlength=classes * classes).astype(np.int64)
+            for i in range(b.num_rows):
+                left, right, n = (np.frombuffer(b.column(s)[i].as_buffer(), t) for s, t in zip(_SIDES, _KINDS))
+                total += np.bincount(of.value[left].astype(np.int64) * classes + of.value[right], weights=n, minlength=classes * classes).astype(np.int64)
         if total.any():
             yield C.count_rows(total, C.task_salt())
 
@@ -271,8 +282,8 @@ def exchange_clusters(pairs: DataFrame, counts: np.ndarray, classes: int, rounds
             now, counted = given.value
             chosen = lambda w: int(C.mix(np.array([w], dtype=np.uint64))[0] % np.uint64(TURNS)) == part  # noqa: E731, B023
             for b in batches:
-                for row in zip(*(b.column(s).to_pylist() for s in (*_SIDES, *[f"in_{s}" for s in _SIDES]))):
-                    arrays = [np.frombuffer(x or b"", np.int64) for x in row]
+                for i in range(b.num_rows):
+                    arrays = [np.frombuffer(b.column(s)[i].as_buffer(), t) for s, t in zip((*_SIDES, *_IN), (*_KINDS, *_KINDS))]
                     symbols, new = moves(arrays[:3], arrays[3:], now, counted, chosen)
                     if symbols:
                         yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int32()), pa.array(new, pa.int32())], names=["symbol", "class"])
