@@ -140,8 +140,36 @@ def test_licenses(spark):
     got = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
     assert {i: (r["license"], r["confirmed"]) for i, r in got.items() if i < 4} == {0: ("CC-BY-NC-4.0", True), 1: ("MIT", True), 2: ("GPL-3.0", True), 3: ("AGPL-3.0", True)}
     assert not got[4]["confirmed"] and max(got) == 4
-    assert texts[0][got[0]["start"] : got[0]["start"] + got[0]["length"]] == "Licensed under CC BY-NC 4.0."
-    assert got[0]["added"] == "" and licenses.scan(empty(spark)).count() == 0
+    assert texts[0][got[0]["start"] : got[0]["start"] + got[0]["length"]] == "Licensed under CC BY-NC 4.0"
+    assert got[0]["added"] == "" and licenses.scan(empty(spark)).count() == 0 and licenses.scan(frame(spark, texts[:4]), folder=None).count() == 4
+
+
+def test_whole_license_texts_and_headers():
+    s = licenses.Scanner(licenses.templates())
+    wholes = [(k, t) for k, t in licenses.templates() if len(t) > 60 and k not in ("CC0-1.0", "All-Rights-Reserved")]
+    for name, text in wholes:
+        found = [f for f in s.findings("Some prose that has nothing to do with it.\n\nCopyright (c) 2020 Foo Bar\n\n" + text + "\n\nMore prose follows here.") if f[7] and f[2] != "All-Rights-Reserved"]
+        assert found and {f[2] for f in found} == {name}, (name, text[:60], [f[2] for f in found])
+    both = s.findings(licenses.TEXTS["MIT"][0] + "\n\n" + licenses.TEXTS["Apache-2.0"][0])
+    assert {f[2] for f in both if f[7]} == {"MIT", "Apache-2.0"}
+    assert [(f[2], f[7]) for f in s.findings("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;")] == [("MIT OR Apache-2.0", True)]
+    for text in ("GNU GENERAL PUBLIC LICENSE", "You may obtain a copy of the license somewhere", "This license is not one"):
+        assert not any(f[7] for f in s.findings(text)), text
+    affero = licenses.TEXTS["GPL-3.0"][0].replace("General", "Affero General")
+    assert {f[2] for f in s.findings(affero) if f[7]} == {"AGPL-3.0"}
+
+
+def test_license_scan_is_linear():
+    import time
+
+    s = licenses.Scanner(licenses.templates())
+    for text in ("my license {} ", "word word word word {} a license. ", "a license. {}"):
+        took = []
+        for n in (10_000, 20_000):
+            start = time.time()
+            s.findings("".join(text.format(i) for i in range(n)))
+            took.append(time.time() - start)
+        assert took[1] < 3 * took[0] + 1, (text, took)
 
 
 # 4 ------------------------------------------------------------------------------------------------------------
@@ -233,7 +261,7 @@ def test_later_mentions_other_types_and_announced_names(spark):
     texts = ["Mr. John Smith came and later Smith paid; Smith's dog, Smithson", "my name is Zuzana Kral, and Kral it is. Anna", "born on 1980-03-04 or DOB: 31.12.1999", "fe80::1ff:fe23:4567:890a and 2001:0db8:85a3:0000:0000:8a2e:0370:7334", "at 12 Baker Street, QQ 12 34 56 C, 12345678Z"]
     got = {r["doc_id"]: r for r in pii.replace(frame(spark, texts), KEY).collect()}
     first = got[0]["text"].replace(";", "").replace(",", "").split()
-    assert first[2] == first[5] != "Smith" and first[7] == first[2] + "'s" and first[9] == "Smithson" and got[0]["n_entities"] == 3
+    assert first[2] == first[6] != "Smith" and first[8] == first[2] + "'s" and first[10] == "Smithson" and got[0]["n_entities"] == 3
     second = got[1]["text"].replace(",", "").split()
     assert second[4] == second[6] != "Kral" and second[-1] == "Anna"
     import datetime
