@@ -170,14 +170,25 @@ def _count_pairs(train: DataFrame, words, shapes: int, tokens: int) -> DataFrame
             yield row(k, *np.divmod(pairs, size), n, none, none, none)
 
     def turned(batches):
-        """Each row, and its pairs again, dealt by what they end with."""
+        """Each row, and all rows' pairs again, dealt by what they end with; as few rows of these as `deal` makes."""
+
+        def back(parts):
+            dealt = rows(*(np.concatenate([p[k] for p in parts]) for k in range(2)), by_right=True)
+            empty = [pa.array([b""] * dealt.num_rows, pa.binary())] * 3
+            return pa.RecordBatch.from_arrays([dealt.column("bucket"), *empty, *[dealt.column(s) for s in _SIDES]], names=["bucket", *_SIDES, *_IN])
+
+        parts, held = [], 0
         for b in batches:
             for i in range(b.num_rows):
                 left, right, n = (np.frombuffer(b.column(s)[i].as_buffer(), t) for s, t in zip(_SIDES, _KINDS))
-                back = rows(left.astype(np.int64) * size + right, n, by_right=True)
-                empty = [pa.array([b""] * back.num_rows, pa.binary())] * 3
-                yield pa.RecordBatch.from_arrays([back.column("bucket"), *empty, *[back.column(s) for s in _SIDES]], names=["bucket", *_SIDES, *_IN])
+                parts.append((left.astype(np.int64) * size + right, n))
+                held += len(n)
                 yield b.slice(i, 1)
+                if held >= FLUSH:
+                    yield back(parts)
+                    parts, held = [], 0
+        if parts:
+            yield back(parts)
 
     def gathered(batches):
         for k, own in C.each_bucket(batches, [*_SIDES, *_IN], [*_KINDS, *_KINDS]):

@@ -20,7 +20,8 @@ reach the needed overlap.
 
 Defined cases: null or wordless text has an empty set, no link and its own id as component;
 fewer than five words are one shingle; equal rows are linked like any copies; a null doc_id
-takes no part in links and has a null component; an empty table gives no rows.
+takes no part in links and has a null component; rows with one doc_id and different texts are
+documents of their own, each in the component of its text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,15 +35,29 @@ from . import columns as C
 from .graph import components
 from .storage import kept
 
-BINS = 1 << 19
+#: Bits of a shingle's hash bin: so many that a bin holds about PER_BIN shingles of the corpus, within these bounds (the counts are 4 bytes a bin).
+LEAST_BITS, MOST_BITS, PER_BIN = 19, 24, 256
+#: Bits of the filter by which a scan finds the texts of nodes, at most; more nodes are joined with all texts.
+FILTER_BITS = 1 << 30
 FLUSH = 1 << 19
 BLOCK = 64
 #: Least nodes that a node is compared with in the first round.
 STARS = 2
 
 
-def _bin(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(45)).astype(np.int64)
+def _bin(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _ranks(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each shingle's bin occurs in the corpus."""
+    return counts[_bin(s, len(counts).bit_length() - 1)]
+
+
+def _bits(docs: DataFrame) -> int:
+    """Bits of a bin, from the size of the corpus; a shingle begins about every six bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // (6 * PER_BIN)).bit_length()))
 
 
 def shingle_sets(batch):
@@ -61,15 +76,16 @@ def _node_hash(s: np.ndarray) -> int:
 
 def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, sid) of every document, kept; and the corpus counts by hash bin."""
+    bits = _bits(docs)
     schema = "doc_id bigint, n_shingles bigint, sid bigint, chunk int, salt int, counts binary"
     names = ["doc_id", "n_shingles", "sid", "chunk", "salt", "counts"]
 
     def run(batches):
-        counts = np.zeros(BINS, dtype=np.int64)
+        counts = np.zeros(1 << bits, dtype=np.int64)
         for b in C.slices(batches):
             sets = shingle_sets(b)
             if sets:
-                counts += np.bincount(_bin(np.concatenate(sets)), minlength=BINS)
+                counts += np.bincount(_bin(np.concatenate(sets), bits), minlength=1 << bits)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node_hash(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
@@ -80,7 +96,7 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, *rows.columns], names=names)
 
     table = kept(docs.mapInArrow(run, schema))
-    counts = C.summed(table.filter("chunk is not null").select("chunk", "salt", "counts"), docs.sparkSession, BINS, np.uint32)
+    counts = C.summed(table.filter("chunk is not null").select("chunk", "salt", "counts"), docs.sparkSession, 1 << bits, np.uint32)
     return table.filter("chunk is null").select("doc_id", "n_shingles", "sid"), counts
 
 
@@ -115,7 +131,7 @@ def _shared(docs: DataFrame, counts, percent: int) -> DataFrame:
         for b in C.slices(batches):
             for s in shingle_sets(b):
                 if len(s):
-                    own = s[np.lexsort((s, rank[_bin(s)]))[: prefix_length(len(s), percent)]]
+                    own = s[np.lexsort((s, _ranks(s, rank)))[: prefix_length(len(s), percent)]]
                     tokens.append(own)
                     sids.append(np.full(len(own), _node_hash(s), dtype=np.int64))
                     at.append(np.arange(len(own), dtype=np.int32))
@@ -142,19 +158,22 @@ def _shared(docs: DataFrame, counts, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, counts) -> DataFrame:
-    """(node, size, tokens) of the documents whose id is among `nodes`; tokens in common-first order.
+    """(node, size, tokens) of the sets of `nodes` (node, rep: a document that has the set); tokens in common-first order.
 
-    The ids go to the scan as a Bloom filter of a bounded size; the join after it is exact.
+    The documents' ids go to the scan as a Bloom filter of a bounded size; the join after it is exact.
     """
     spark = docs.sparkSession
     n = nodes.count()
-    bits = min(1 << 27, max(1 << 16, 1 << (16 * n).bit_length()))
+    docs = docs.filter("doc_id is not null")
+    if 8 * n > FILTER_BITS:
+        return _taken(docs.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), nodes, counts, None)
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
     place = lambda ids: C.mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
 
     def mark(batches):
         field = np.zeros(bits // 8, dtype=np.uint8)
         for b in batches:
-            at = place(b.column("node").to_numpy(zero_copy_only=False))
+            at = place(b.column("rep").to_numpy(zero_copy_only=False))
             np.bitwise_or.at(field, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         for i in range(0, len(field), 1 << 13):
             if field[i : i + (1 << 13)].any():
@@ -170,23 +189,31 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, counts) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["chunk", "field"])
 
     field = np.zeros(bits // 8, dtype=np.uint8)
-    for r in nodes.select("node").mapInArrow(mark, "chunk int, field binary").repartition(C.partitions(spark), "chunk").mapInArrow(merge, "chunk int, field binary").collect():
+    for r in nodes.select("rep").mapInArrow(mark, "chunk int, field binary").repartition(C.partitions(spark), "chunk").mapInArrow(merge, "chunk int, field binary").collect():
         field[r["chunk"] << 13 : (r["chunk"] << 13) + len(r["field"])] = np.frombuffer(r["field"], dtype=np.uint8)
     shared = spark.sparkContext.broadcast(field)
 
+    def among(ids):
+        at, bloom = place(ids), shared.value
+        return ((bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+    return _taken(docs, nodes, counts, among)
+
+
+def _taken(docs: DataFrame, nodes: DataFrame, counts, among) -> DataFrame:
     def run(batches):
-        rank, bloom = counts.value, shared.value
+        rank = counts.value
         for b in C.slices(batches):
-            at = place(b.column("doc_id").to_numpy(zero_copy_only=False))
-            hit = (bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            b = b.filter(pa.array(hit.astype(bool)))
-            if not b.num_rows:
+            if among:
+                b = b.filter(pa.array(among(b.column("doc_id").to_numpy(zero_copy_only=False))))
+            sets = [(i, s) for i, s in enumerate(shingle_sets(b)) if len(s)] if b.num_rows else []
+            if not sets:
                 continue
-            sets = shingle_sets(b)
-            blobs = [s[np.lexsort((s, -rank[_bin(s)].astype(np.int64)))].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], names=["node", "size", "tokens"])
+            rep = b.column("doc_id").take(pa.array([i for i, _ in sets]))
+            blobs = [s[np.lexsort((s, -_ranks(s, rank).astype(np.int64)))].tobytes() for _, s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_node_hash(s) for _, s in sets], pa.int64()), rep, pa.array([len(s) for _, s in sets], pa.int64()), pa.array(blobs, pa.binary())], names=["node", "rep", "size", "tokens"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "node bigint, size bigint, tokens binary").join(nodes, "node", "left_semi")
+    return docs.mapInArrow(run, "node bigint, rep bigint, size bigint, tokens binary").join(nodes, ["node", "rep"], "left_semi").drop("rep")
 
 
 def trie_overlaps(probe: np.ndarray, sets: list[bytes], percent: int) -> list[bool]:
@@ -248,8 +275,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey, counts = _survey(docs)
     counts = spark.sparkContext.broadcast(counts)
-    classes = kept(survey.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")))
-    shared = kept(_shared(docs, counts, percent).join(classes, "sid").select("token", "node", "size", "at"))
+    # A node is a set; any document that has it stands for it where its text is needed.
+    classes = kept(survey.filter("sid is not null and doc_id is not null").groupBy(F.col("sid").alias("node")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")))
+    shared = kept(_shared(docs, counts, percent).withColumnRenamed("sid", "node").join(classes, "node").select("token", "node", "size", "at"))
+    with_rep = lambda rows: rows.join(classes.select("node", "rep"), "node")
 
     # Each node with those least nodes of its shingles with which it shares most of them.
     hubs = shared.groupBy("token").agg(F.min("node").alias("b"), F.min_by("size", "node").alias("size_b"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -265,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .select("a", F.explode("best").alias("best")).select("a", (-F.col("best.b")).alias("b"))
     )
     stars = kept(stars)
-    nodes = kept(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
+    nodes = kept(with_rep(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()))
     sets = kept(_sets_of(docs, nodes, counts))
     links = kept(_linked(stars, sets, percent))
     labels = components(links)
@@ -286,10 +315,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     across = kept(across.filter(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b"))
     if not across.isEmpty():
         more = across.select(F.col("a").alias("node")).union(across.select("b")).distinct().join(nodes, "node", "left_anti")
-        sets = sets.unionByName(kept(_sets_of(docs, kept(more), counts)))
+        sets = sets.unionByName(kept(_sets_of(docs, kept(with_rep(more)), counts)))
         found = kept(_linked(across, sets, percent))
         if not found.isEmpty():
             labels = components(links.union(found))
-    of_class = classes.select("sid", "node").join(labels, "node", "left").select("sid", F.coalesce("component", "node").alias("of_class"))
+    placed = kept(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
+    least = placed.groupBy("component").agg(F.min("rep").alias("of_class"))
+    of_class = placed.join(least, "component").select(F.col("node").alias("sid"), "of_class")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("of_class", "doc_id"))
     return survey.join(kept(of_class), "sid", "left").select("doc_id", "n_shingles", component.alias("component_id"))

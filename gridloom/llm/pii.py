@@ -73,7 +73,7 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|\b[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|\b\d{8}-?[A-HJ-NP-TV-Z]\b",
     "phone": r"(?<![\d+])\+\d{1,3}[ \-.]?\(?\d{2,4}\)?(?:[ \-.]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[\-.]\d{4}(?!\d)|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])",
     "address": r"(?<![\d.,\-])\d{1,5} (?:\p{Lu}\p{Ll}{1,30} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd|Court|Square)\b",
-    "name": rf"\b{_TITLES}\.? {_WORD}(?: {_WORD})?+|\b(?=\p{{Lu}})(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}[\p{{L}}'’\-]++|(?=\p{{Lu}})(?<=\b{_CUES} ){_WORD}(?: {_WORD}){{1,2}}+",
+    "name": rf"\b(?=[\p{{Lu}}г]){_TITLES}\.? {_WORD}(?: {_WORD})?+|\b(?=\p{{Lu}})(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}[\p{{L}}'’\-]++|(?=\p{{Lu}})(?<=\b{_CUES} ){_WORD}(?: {_WORD}){{1,2}}+",
 }
 _numbered = dict(PATTERNS, card=PATTERNS["card"].replace(r"([ \-])", r"(?<sep>[ \-])").replace(r"\1", r"\k<sep>"))
 ENTITY = "|".join(f"(?:{p})" for p in _numbered.values())
@@ -83,10 +83,10 @@ _BARE = r"^\p{Lu}[\p{L}'’\-]+$"
 #: What every entity of a type holds, each alternative of its pattern with its own part: texts without any need no scan.
 HINTS = {
     "email": "@",
-    "secret": r"(?i:token|secret|passw|pwd|key)|\bAKIA[0-9A-Z]{16}|\bgh[pousr]_[A-Za-z0-9]{36}|\bsk-[A-Za-z0-9]{20}|\b[0-9a-f]{32}",
+    "secret": r"\b(?i:token|secret|passw|pwd|api|access)|\bAKIA[0-9A-Z]{16}|\bgh[pousr]_[A-Za-z0-9]{36}|\bsk-[A-Za-z0-9]{20}|\b[0-9a-f]{32}",
     "ipv6": r"[0-9A-Fa-f]:",
     **{kind: "[0-9]" for kind in ("iban", "card", "ip", "born", "ssn", "phone", "address")},
-    "name": rf"\b{_TITLES}\.? \p{{Lu}}|\b(?=\p{{Lu}})(?:{_GIVEN}) \p{{Lu}}|{_CUES} \p{{Lu}}",
+    "name": rf"\b(?=[\p{{Lu}}г]){_TITLES}\.? \p{{Lu}}|\b(?=\p{{Lu}})(?:{_GIVEN}) \p{{Lu}}|(?=\p{{Lu}})(?<=\b{_CUES} )\p{{Lu}}",
 }
 _HINT = "|".join(dict.fromkeys(HINTS.values()))
 

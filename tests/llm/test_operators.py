@@ -447,6 +447,26 @@ def test_join_of_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.near_duplicates(rows).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (3, 1), (4, 4)]
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
+    twice = spark.createDataFrame([(7, "a b c d e"), (7, "v w x y z"), (8, "a b c d e"), (9, "v w x y z")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(twice).collect()) == [(7, 7), (7, 7), (8, 7), (9, 7)]
+
+
+def test_join_without_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 8)
+    texts = near_copies(random.Random(4), 6) + ODD
+    want = brute.components({i: brute.shingles(t) for i, t in enumerate(texts)})
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, texts)).collect()} == want
+
+
+def test_one_passage_in_all_documents(spark):
+    # Its shingles span all components, and no two documents link by it alone.
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    passage = prose(rng, 40, words)
+    texts = [prose(rng, 60, words) + " " + passage for _ in range(150)]
+    texts += [t + " end" for t in texts[:30]]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: i - 150 if i >= 150 else i for i in range(180)}
 
 
 def test_trie_counts_like_sets():
