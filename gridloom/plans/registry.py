@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable
 from pathlib import Path
 
@@ -16,8 +17,10 @@ def query(oracle: str | None = None):
     def add(f):
         @functools.wraps(f)
         def run(spark, sf_dir):
-            # Python workers find the package where the driver has it.
-            spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
+            # Python workers find the package where the driver has it, besides what the user lets them find.
+            own, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+            paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p and p != own]
+            environment["PYTHONPATH"] = os.pathsep.join([own, *paths])
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run

@@ -169,8 +169,7 @@ CASE WHEN count(b.seq) = 0 OR (SELECT now_ms FROM clock) - max(b.timestamp_ms) >
 FROM registered r LEFT JOIN beats b ON b.node_id = r.node_id AND b.seq > r.seq GROUP BY r.node_id""")
 def node_liveness(spark, sf_dir):
     beats, registered = _beats(spark, sf_dir)
-    now = fold.clock(beats).first()[0] or 0
-    return fold.liveness(registered, beats, now, deadline_ms=3_600_000)
+    return fold.liveness(registered, beats, deadline_ms=3_600_000)
 
 
 @query(_BEATS + "SELECT b.seq, b.node_id, b.timestamp_ms FROM beats b LEFT JOIN registered r USING (node_id) WHERE r.seq IS NULL OR b.seq < r.seq")

@@ -30,11 +30,12 @@ def render_json(rows: DataFrame, name: str, path: str) -> None:
 
 
 def render_text(rows: DataFrame, name: str, most: int = 1000) -> str:
-    """A table of a view's first `most` rows: a report for reading, the rows' number is its limit."""
+    """A table of a view's first `most` rows: a report for reading, whose number of rows is its limit; a last line says how many it leaves out."""
     columns, _, nothing = VIEWS[name]
+    more = max(rows.count() - most, 0)
     found = [[("-" if v is None else f"{v:.4f}" if isinstance(v, float) else json.dumps(v) if isinstance(v, bool) else str(v)) for v in r] for r in view(rows, name).limit(most).collect()]
     if not found:
         return nothing + "\n"
     widths = [max(len(c), *(len(r[i]) for r in found)) for i, c in enumerate(columns)]
     line = lambda r: "  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip()
-    return "\n".join([line(columns), *map(line, found)]) + "\n"
+    return "\n".join([line(columns), *map(line, found), *([f"... and {more} more"] if more else [])]) + "\n"

@@ -39,17 +39,20 @@ def live_predictions(samples: DataFrame) -> DataFrame:
     return with_prediction(with_profile(latest_samples(samples, ["shard_id", "x", "y"])))
 
 
-def liveness(registered: DataFrame, heartbeats: DataFrame, clock_ms: int, deadline_ms: int = 30_000) -> DataFrame:
+def liveness(registered: DataFrame, heartbeats: DataFrame, clock_ms: int | None = None, deadline_ms: int = 30_000) -> DataFrame:
     """node_id, beats, silence_ms, health of registered nodes.
 
     Never heard since registration, or silent beyond the deadline: unreachable; last beat unhealthy: degraded. A node
-    that registers anew must prove itself again. Beats of unregistered nodes create nothing.
+    that registers anew must prove itself again. Beats of unregistered nodes create nothing. Without a clock the newest beat's time is it.
     """
     own = registered.groupBy("node_id").agg(F.max("seq").alias("registered_seq"))
     heard = heartbeats.join(own, "node_id").filter("seq > registered_seq").groupBy("node_id").agg(F.count("*").alias("beats"), F.max("timestamp_ms").alias("last_ms"), F.max_by("healthy", "seq").alias("healthy"))
-    silence = F.lit(clock_ms) - F.col("last_ms")
+    now = heartbeats.agg(F.max("timestamp_ms").alias("now_ms")) if clock_ms is None else None
+    silence = (F.col("now_ms") if now is not None else F.lit(clock_ms)) - F.col("last_ms")
     health = F.when(F.col("last_ms").isNull() | (silence > deadline_ms), "unreachable").when(~F.col("healthy"), "degraded").otherwise("healthy")
-    return own.join(heard, "node_id", "left").select("node_id", F.coalesce("beats", F.lit(0)).alias("beats"), silence.alias("silence_ms"), health.alias("health"))
+    rows = own.join(heard, "node_id", "left")
+    rows = rows if now is None else rows.join(now)
+    return rows.select("node_id", F.coalesce("beats", F.lit(0)).alias("beats"), silence.alias("silence_ms"), health.alias("health"))
 
 
 def unregistered(registered: DataFrame, heartbeats: DataFrame) -> DataFrame:

@@ -61,3 +61,23 @@ def test_placement_records(spark, tmp_path):
     assert (r["version"], r["deleted"], r["node_id"]) == (3, True, None)
     assert ask((7, 1, 0, 0, "d", "r", None, False)) == {7: None}
     assert placements.load(spark, path).select(placements.address(F.col("shard_id"), F.col("x"), F.col("y")).alias("a")).first()["a"] == "gridloom_placement:1:0:0"
+    # Two writers decide against the same state: only one gets the number, the other decides again.
+    number, _ = placements._commits(spark, path)
+    assert placements._commit(spark, path, number + 1, "none", "log") is True and placements._commit(spark, path, number + 1, "other", "log") is False
+
+
+def test_placement_records_compacted(spark, tmp_path):
+    path = str(tmp_path / "records")
+    schema = "seq bigint, shard_id bigint, x int, y int, node_id string, region string, expect bigint, delete boolean"
+    for k in range(3):
+        placements.write(spark, path, spark.createDataFrame([(k, 1, 0, 0, f"n{k}", "r", k or None, False)], schema))
+    assert placements.compact(spark, path) and len(placements._commits(spark, path)[1]) == 1
+    r = placements.load(spark, path).first()
+    assert (r["version"], r["node_id"]) == (3, "n2")
+    assert [x["refusal"] for x in placements.write(spark, path, spark.createDataFrame([(9, 1, 0, 0, "z", "r", 3, False)], schema)).collect()] == [None]
+    assert placements.load(spark, path).first()["version"] == 4
+
+
+def test_a_text_view_says_what_it_leaves_out(spark):
+    text = views.render_text(replay.profiles(rows(spark)), "workload", most=1)
+    assert len(text.splitlines()) == 3 and text.splitlines()[-1] == "... and 2 more"
