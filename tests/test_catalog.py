@@ -25,3 +25,20 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.count() == 397 and "action" in df.columns
+
+
+@pytest.fixture
+def uneven(spark):
+    """Adaptive execution merges the small partitions of each side of a union in its own way."""
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["replica_operations", "set_if_revision"])
+def test_folds_of_unions_whose_sides_are_merged_differently(spark, sf_dir, con, uneven, name):
+    assert spark_rows(catalog.QUERIES[name](spark, sf_dir)) == sql_rows(con, catalog.ORACLES[name])
