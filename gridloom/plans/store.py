@@ -164,9 +164,9 @@ def set_if_revision(spark, sf_dir):
     again = asked.withColumn("seq", F.col("seq") + F.lit(1_000_000_000))
     start = log.select("address").distinct().withColumn("data", F.lit('{"revision": 0}'))
     out = store.set_if(start, asked.union(again))
-    last = F.max(F.get_json_object("data", "$.revision").cast("bigint")).over(Window.partitionBy("address"))
     # A second try leaves what all writes have left; the first one is told by its own revision.
-    return out.withColumn("last", last).join(asked.select("address", F.col("seq").alias("s"), F.col("expect_eq").cast("bigint").alias("seen")), ["address"]).filter("seq % 1000000000 = s").select("address", "seq", "applied", (F.col("seen") + 1).cast("double").alias("value"), (F.col("seen") + 1).alias("revision"))
+    tried = asked.union(again).select("address", "seq", F.col("expect_eq").cast("bigint").alias("seen"))
+    return out.join(tried, ["address", "seq"]).select("address", "seq", "applied", (F.col("seen") + 1).cast("double").alias("value"), (F.col("seen") + 1).alias("revision"))
 
 
 @query("WITH " + P.LOG + " SELECT address, seq, CAST(CASE WHEN seq = min(seq) OVER (PARTITION BY address) THEN 200 ELSE 409 END AS INTEGER) AS status FROM log WHERE op = 'set'")
