@@ -6,12 +6,12 @@ Jaccard similarity t share a shingle among the first |x| - ceil(t |x|) + 1 of ea
 rare-first order, so these few are shuffled; a shingle of one set alone ends there. Equal
 sets are one node from the start.
 
-Nodes that share rare shingles are compared in two rounds. First every node with a few of the
-least nodes of its shingles: that joins groups of copies as stars. Then, of shingles that
-still span several components, every pair of nodes of different components that share one
-early enough in both sets, and enough of them, for a link. A pair within one
-component can't change the result, so it is never made; a pair across components that may
-link always is, so no link is lost.
+Nodes that share rare shingles are compared in rounds of stars: every node with a few hubs of
+its shingles that are in other components, for as long as that joins components. That makes
+few rows for a large group of near copies. Then, of shingles that still span several
+components, every pair of nodes of different components that share one early enough in both
+sets, and enough of them, for a link. A pair within one component can't change the result, so
+it is never made; a pair across components that may link always is, so no link is lost.
 
 Pairs are verified by trie: the candidates of one node, in common-first order, stand sorted
 so that equal beginnings are adjacent (a trie whose paths are shared beginnings). One walk
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import columns as C
 from .graph import components
@@ -41,8 +42,8 @@ LEAST_BITS, MOST_BITS, PER_BIN = 19, 24, 256
 FILTER_BITS = 1 << 30
 FLUSH = 1 << 19
 BLOCK = 64
-#: Least nodes that a node is compared with in the first round.
-STARS = 2
+#: Hubs that a node is compared with in a round of stars, and rounds at most; they also end when one finds a fiftieth of what the first did.
+STARS, ROUNDS = 2, 12
 
 
 def _bin(h: np.ndarray, bits: int) -> np.ndarray:
@@ -268,6 +269,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").select("a", "b", "own", "other").mapInArrow(run, "a bigint, b bigint")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) once `links` (a, b) of their nodes join them."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return kept(labels.join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -280,45 +289,61 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = kept(_shared(docs, counts, percent).withColumnRenamed("sid", "node").join(classes, "node").select("token", "node", "size", "at"))
     with_rep = lambda rows: rows.join(classes.select("node", "rep"), "node")
 
-    # Each node with those least nodes of its shingles with which it shares most of them.
-    hubs = shared.groupBy("token").agg(F.min("node").alias("b"), F.min_by("size", "node").alias("size_b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     needed = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent))
     # Of a link's shared shingles, all but those of the longer rest beyond the prefixes are shared by the prefixes.
     least = needed - F.greatest(_rest("size", percent), _rest("size_b", percent))
     allowed = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
-    stars = (
-        shared.join(hubs, "token").filter("node <> b").filter(allowed)
-        .groupBy(F.col("node").alias("a"), "b", "size", "size_b").agg(F.count("*").alias("n"))
-        .filter(4 * F.col("n") >= least)
-        .groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("b")).alias("b"))), asc=False), 1, STARS).alias("best"))
-        .select("a", F.explode("best").alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    )
-    stars = kept(stars)
-    nodes = kept(with_rep(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()))
-    sets = kept(_sets_of(docs, nodes, counts))
-    links = kept(_linked(stars, sets, percent))
-    labels = components(links)
+
+    # Rounds of stars: each node with those hubs of its shingles, of other components, with which it shares most of
+    # them. A hub is the first of a shingle's nodes in an order of the round. Shingles of one component alone go.
+    labels = kept(classes.select("node", F.col("node").alias("component")))
+    open_, sets, most = shared, None, None
+    for turn in range(ROUNDS):
+        placed = open_.join(labels, "node")
+        order = F.xxhash64("node", F.lit(turn))
+        hubs = placed.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b")), order).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        placed = kept(placed.join(hubs.filter("low <> high").select("token", "hub.*"), "token"))
+        open_ = placed.select("token", "node", "size", "at")
+        stars = (
+            placed.filter("component <> component_b").filter(allowed)
+            .groupBy(F.col("node").alias("a"), "b", "size", "size_b").agg(F.count("*").alias("n"))
+            .filter(4 * F.col("n") >= least)
+            .groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("b").alias("order"), "b")), asc=False), 1, STARS).alias("best"))
+            .select("a", F.explode("best.b").alias("b"))
+        )
+        stars = kept(stars)
+        wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+        nodes = kept(with_rep(wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")))
+        more = kept(_sets_of(docs, nodes, counts))
+        sets = more if sets is None else sets.unionByName(more)
+        found = kept(_linked(stars, sets, percent))
+        n = found.count()
+        if n:
+            labels = _merged(labels, found)
+        most = most or n
+        if 50 * n <= most:
+            break
 
     # Shingles that still span several components: every pair across them that may link. The first
     # shingle that such a pair shares has at least `needed` - 1 after it in either set, and at least
-    # `least` of the shared ones are in both prefixes.
-    placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # `least` of the shared ones are in both prefixes. A pair whose shingles before this one are equal is made there.
+    placed = open_.join(labels, "node")
     spans = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_ = kept(placed.join(spans, "token", "left_semi"))
-    left = open_.select(F.col("token").alias("token_a"), F.col("node").alias("a"), "size", "at", F.col("component").alias("component_a"))
-    right = open_.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
+    open_ = kept(placed.join(spans, "token", "left_semi").withColumn("prior", F.lag("token").over(Window.partitionBy("node").orderBy("at"))))
+    left = open_.select(F.col("token").alias("token_a"), F.col("prior").alias("prior_a"), F.col("node").alias("a"), "size", "at", F.col("component").alias("component_a"))
+    right = open_.select("token", "prior", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
     early = (F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
-    across = left.join(right, (F.col("token_a") == F.col("token")) & (F.col("component_a") > F.col("component_b")) & allowed & early)
+    across = left.join(right, (F.col("token_a") == F.col("token")) & (F.col("component_a") > F.col("component_b")) & allowed & early & F.coalesce(F.col("prior_a") != F.col("prior"), F.lit(True)))
     across = across.select("a", "b", "size", "size_b").distinct()
     prefixes = kept(open_.groupBy("node").agg(F.collect_list("token").alias("tokens")))  # a node's are as many as its prefix at most
     across = across.join(prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
     across = kept(across.filter(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b"))
     if not across.isEmpty():
-        more = across.select(F.col("a").alias("node")).union(across.select("b")).distinct().join(nodes, "node", "left_anti")
+        more = across.select(F.col("a").alias("node")).union(across.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
         sets = sets.unionByName(kept(_sets_of(docs, kept(with_rep(more)), counts)))
         found = kept(_linked(across, sets, percent))
         if not found.isEmpty():
-            labels = components(links.union(found))
+            labels = _merged(labels, found)
     placed = kept(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
     least = placed.groupBy("component").agg(F.min("rep").alias("of_class"))
     of_class = placed.join(least, "component").select(F.col("node").alias("sid"), "of_class")

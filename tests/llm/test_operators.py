@@ -621,3 +621,28 @@ def test_decontamination_query(spark, sf_dir):
     for r in [r for r in rows if r["contaminated"]] + rows[:5]:
         n, hit, found = brute.contamination(texts[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Near copies of one text, any two of which about link: components as by brute force, from far fewer pairs than the group has."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for i in rng.sample(range(200), 3):
+            words[i] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    made, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *rest: (made.append(pairs.count()), linked(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    first = min(got)
+    assert got == {first + i: first + x for i, x in enumerate(want)}
+    assert sum(made) < 12 * len(texts)
