@@ -19,10 +19,8 @@ scanned whole, in linear time; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import difflib
 import os
 import re
-from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -98,8 +96,6 @@ TELLING = {"affero", "lesser", "library", "noncommercial", "sharealike", "noderi
 MARGIN, LEAST_REDUCTION, MOST_MISSING, MOST_ADDED = 0.15, 0.3, 0.35, 0.2
 #: Words that no template has, at most, between parts of a block; and words in a row that show a template.
 GAP, RUN = 12, 4
-#: Larger comparisons are first cut at runs that occur once on both sides.
-SMALL = 250_000
 PIECE = 8192
 
 HINTS = ("licens", "copyright", "all rights reserved", "public domain", "redistribut", "creative commons", "permission is hereby", "permission to use", "spdx")
@@ -247,7 +243,7 @@ class Scanner:
 
 def difference(own: list[str], words: list[str]) -> tuple[int, list[str], list[str], int, int]:
     """Words in common, those of `own` that are missing, those that are added between the first and last common one, and where these stand (from, to)."""
-    blocks = list(_matching(own, words, 0, 0))
+    blocks = _matching(own, words)
     if not blocks:
         return 0, list(own), [], 0, len(words)
     missing, added, i, j = [], [], 0, blocks[0][1]
@@ -258,40 +254,34 @@ def difference(own: list[str], words: list[str]) -> tuple[int, list[str], list[s
     return sum(n for _, _, n in blocks), missing + own[i:], added, blocks[0][1], j
 
 
-def _matching(own, words, a, b):
-    """(place in own, place in words, length) of equal runs, in order."""
-    if len(own) * len(words) <= SMALL:
-        for x, y, n in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks():
-            if n:
-                yield a + x, b + y, n
-        return
-    runs = [[tuple(w[i : i + RUN]) for i in range(len(w) - RUN + 1)] for w in (own, words)]
-    counts = [Counter(r) for r in runs]
-    there = {r: i for i, r in enumerate(runs[1]) if counts[1][r] == 1}
-    pairs = [(i, there[r]) for i, r in enumerate(runs[0]) if counts[0][r] == 1 and r in there]
-    # The longest sequence of pairs that rises on both sides.
-    tails, back, at = [], [-1] * len(pairs), []
-    for k, (_, y) in enumerate(pairs):
-        n = bisect.bisect_left(tails, y)
-        back[k] = at[n - 1] if n else -1
-        tails[n:] = [y] if n == len(tails) else [y, *tails[n + 1 :]]
-        at[n:] = [k] if n == len(at) else [k, *at[n + 1 :]]
-    chain, k = [], at[-1] if at else -1
-    while k >= 0:
-        chain.append(pairs[k])
-        k = back[k]
-    x = y = 0
-    for i, j in [*reversed(chain), (len(own), len(words))]:
-        if i < x or j < y:
-            continue
-        if (i - x) * (j - y) and (i - x) * (j - y) <= SMALL:
-            yield from _matching(own[x:i], words[y:j], a + x, b + y)
-        n = 0
-        while i + n < len(own) and j + n < len(words) and own[i + n] == words[j + n]:
-            n += 1
-        if n:
-            yield a + i, b + j, n
-        x, y = i + n, j + n
+def _matching(own, words):
+    """(place in own, place in words, length) of the runs of a longest common subsequence, in order.
+
+    Of those that are as long it is the one that ends first and then lies closest to its end. Rows are kept as the bits of
+    one number each (a bit is 0 where the length grows), so that texts of any size are compared in the same way.
+    """
+    full, at = (1 << len(own)) - 1, {}
+    for i, w in enumerate(own):
+        at[w] = at.get(w, 0) | 1 << i
+    rows = [full]
+    for w in words:
+        v, hit = rows[-1], rows[-1] & at.get(w, 0)
+        rows.append(((v + hit) | (v - hit)) & full)
+    least = rows[-1].bit_count()
+    i, j = len(own), next(j for j, v in enumerate(rows) if v.bit_count() == least)
+    out: list[tuple[int, int, int]] = []
+    while i and j:
+        if own[i - 1] == words[j - 1]:
+            i, j = i - 1, j - 1
+            if out and out[-1][:2] == (i + 1, j + 1):
+                out[-1] = (i, j, out[-1][2] + 1)
+            else:
+                out.append((i, j, 1))
+        elif rows[j] >> (i - 1) & 1:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
 
 
 _scanners: dict = {}

@@ -646,3 +646,13 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     first = min(got)
     assert got == {first + i: first + x for i, x in enumerate(want)}
     assert sum(made) < 12 * len(texts)
+
+
+def test_words_in_common_do_not_depend_on_the_size():
+    """Beyond what was compared whole before, words between repeated ones counted as missing and added."""
+    own = [w for i in range(400) for w in ("a", "b", f"own{i}")]
+    words = [w for i in range(400) for w in ("a", "b", f"other{i}")]
+    for n in (60, 1200):
+        same, missing, added, first, last = licenses.difference(own[:n], words[:n])
+        assert (same, len(missing), len(added), first) == (2 * n // 3, n // 3, n // 3 - 1, 0)
+        assert last == n - 1
