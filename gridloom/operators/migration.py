@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 CUTOVER_PENDING = 64
 #: Phases that may follow; aborting is allowed up to the cutover, failing until the end.
 NEXT = {"planned": {"copying"}, "copying": {"catching_up"}, "catching_up": {"cutover", "copying"}, "cutover": {"cleanup"}, "cleanup": {"completed"}}
@@ -164,5 +166,4 @@ def fold(scripts: DataFrame) -> DataFrame:
             out.append(row())
         yield pd.DataFrame(out, columns=_FOLDED)
 
-    rows = scripts.select(*columns).repartition("migration_id").sortWithinPartitions("migration_id", "seq")
-    return rows.mapInPandas(run, "migration_id bigint, phase string, copied bigint, pending_writes bigint, read_owner string, write_owner string, refused bigint, last_refusal string")
+    return folded(scripts.select(*columns), ["migration_id"], ["seq"], run, "migration_id bigint, phase string, copied bigint, pending_writes bigint, read_owner string, write_owner string, refused bigint, last_refusal string")
