@@ -13,6 +13,11 @@ components, every pair of nodes of different components that share one early eno
 sets, and enough of them, for a link. A pair within one component can't change the result, so
 it is never made; a pair across components that may link always is, so no link is lost.
 
+Before two sets are compared, their signs are: of 1024 parts of the range of hashes, whether
+a set has an odd number of shingles in each. Where signs differ a shingle is in one set only,
+so sets whose signs differ more often than a link allows don't link. Only pairs that pass
+become rows of their own; most of the near copies that miss the threshold never do.
+
 Pairs are verified by trie: the candidates of one node, in common-first order, stand sorted
 so that equal beginnings are adjacent (a trie whose paths are shared beginnings). One walk
 counts each shared path's overlap once and leaves a branch when what remains of a set can't
@@ -34,7 +39,7 @@ from pyspark.sql.window import Window
 
 from . import columns as C
 from .graph import components
-from .storage import kept
+from .storage import dropped, kept
 
 #: Bits of a shingle's hash bin: so many that a bin holds about PER_BIN shingles of the corpus, within these bounds (the counts are 4 bytes a bin).
 LEAST_BITS, MOST_BITS, PER_BIN = 19, 24, 256
@@ -44,6 +49,8 @@ FLUSH = 1 << 19
 BLOCK = 64
 #: Hubs that a node is compared with in a round of stars, and rounds at most; they also end when one finds a fiftieth of what the first did.
 STARS, ROUNDS = 2, 12
+#: 64-bit numbers of a set's sign.
+SIGN = 16
 
 
 def _bin(h: np.ndarray, bits: int) -> np.ndarray:
@@ -75,11 +82,22 @@ def _node_hash(s: np.ndarray) -> int:
         return int(C.mix(np.array([C.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def sign(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each part of the range of hashes, as SIGN numbers."""
+    odd = np.bincount((C.mix(s) & np.uint64(64 * SIGN - 1)).astype(np.int64), minlength=64 * SIGN) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _apart(a: str, b: str):
+    """Parts in which two signs differ: at most as many as the shingles that one of the sets has and the other has not."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SIGN)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
 def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, sid) of every document, kept; and the corpus counts by hash bin."""
+    """(doc_id, n_shingles, sid, sign) of every document, kept; and the corpus counts by hash bin."""
     bits = _bits(docs)
-    schema = "doc_id bigint, n_shingles bigint, sid bigint, chunk int, salt int, counts binary"
-    names = ["doc_id", "n_shingles", "sid", "chunk", "salt", "counts"]
+    schema = "doc_id bigint, n_shingles bigint, sid bigint, sign array<bigint>, chunk int, salt int, counts binary"
+    names = ["doc_id", "n_shingles", "sid", "sign", "chunk", "salt", "counts"]
 
     def run(batches):
         counts = np.zeros(1 << bits, dtype=np.int64)
@@ -89,16 +107,16 @@ def _survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(_bin(np.concatenate(sets), bits), minlength=1 << bits)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node_hash(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([sign(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
             )
         if counts.any():
             rows = C.count_rows(counts.astype(np.uint32), C.task_salt())
             n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, *rows.columns], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.list_(pa.int64())), *rows.columns], names=names)
 
     table = kept(docs.mapInArrow(run, schema))
     counts = C.summed(table.filter("chunk is not null").select("chunk", "salt", "counts"), docs.sparkSession, 1 << bits, np.uint32)
-    return table.filter("chunk is null").select("doc_id", "n_shingles", "sid"), counts
+    return table.filter("chunk is null").select("doc_id", "n_shingles", "sid", "sign"), counts
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -285,63 +303,75 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     survey, counts = _survey(docs)
     counts = spark.sparkContext.broadcast(counts)
     # A node is a set; any document that has it stands for it where its text is needed.
-    classes = kept(survey.filter("sid is not null and doc_id is not null").groupBy(F.col("sid").alias("node")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")))
+    classes = kept(survey.filter("sid is not null and doc_id is not null").groupBy(F.col("sid").alias("node")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("sign").alias("sign")))
     shared = kept(_shared(docs, counts, percent).withColumnRenamed("sid", "node").join(classes, "node").select("token", "node", "size", "at"))
-    with_rep = lambda rows: rows.join(classes.select("node", "rep"), "node")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of `pairs` (a, b) that link; only the sets of these nodes are read and moved, and none is kept."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        nodes = kept(classes.select("node", "rep").join(wanted, "node", "left_semi"))
+        sets = kept(_sets_of(docs, nodes, counts))
+        found = kept(_linked(pairs, sets, percent))
+        dropped(nodes)
+        dropped(sets)
+        return found
 
     needed = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent))
     # Of a link's shared shingles, all but those of the longer rest beyond the prefixes are shared by the prefixes.
     least = needed - F.greatest(_rest("size", percent), _rest("size_b", percent))
     allowed = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
+    near = _apart("sign", "sign_b") <= F.col("size") + F.col("size_b") - 2 * needed
+    signs = classes.select("node", "sign")
 
     # Rounds of stars: each node with those hubs of its shingles, of other components, with which it shares most of
     # them. A hub is the first of a shingle's nodes in an order of the round. Shingles of one component alone go.
     labels = kept(classes.select("node", F.col("node").alias("component")))
-    open_, sets, most = shared, None, None
+    open_, last, most = shared, shared, None
     for turn in range(ROUNDS):
         placed = open_.join(labels, "node")
         order = F.xxhash64("node", F.lit(turn))
         hubs = placed.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b")), order).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
         placed = kept(placed.join(hubs.filter("low <> high").select("token", "hub.*"), "token"))
-        open_ = placed.select("token", "node", "size", "at")
+        dropped(last)
+        open_, last = placed.select("token", "node", "size", "at"), placed
         stars = (
             placed.filter("component <> component_b").filter(allowed)
             .groupBy(F.col("node").alias("a"), "b", "size", "size_b").agg(F.count("*").alias("n"))
             .filter(4 * F.col("n") >= least)
+            .join(signs.withColumnRenamed("node", "a"), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b").filter(near)
             .groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("b").alias("order"), "b")), asc=False), 1, STARS).alias("best"))
             .select("a", F.explode("best.b").alias("b"))
         )
         stars = kept(stars)
-        wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-        nodes = kept(with_rep(wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")))
-        more = kept(_sets_of(docs, nodes, counts))
-        sets = more if sets is None else sets.unionByName(more)
-        found = kept(_linked(stars, sets, percent))
+        found = verified(stars)
         n = found.count()
         if n:
-            labels = _merged(labels, found)
+            before, labels = labels, _merged(labels, found)
+            dropped(before)
+        dropped(stars)
+        dropped(found)
         most = most or n
         if 50 * n <= most:
             break
 
     # Shingles that still span several components: every pair across them that may link. The first
     # shingle that such a pair shares has at least `needed` - 1 after it in either set, and at least
-    # `least` of the shared ones are in both prefixes. A pair whose shingles before this one are equal is made there.
+    # `least` of the shared ones are in both prefixes. A pair whose shingles before this one are equal is made there,
+    # and one whose signs are too far apart nowhere.
     placed = open_.join(labels, "node")
     spans = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_ = kept(placed.join(spans, "token", "left_semi").withColumn("prior", F.lag("token").over(Window.partitionBy("node").orderBy("at"))))
-    left = open_.select(F.col("token").alias("token_a"), F.col("prior").alias("prior_a"), F.col("node").alias("a"), "size", "at", F.col("component").alias("component_a"))
-    right = open_.select("token", "prior", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
+    open_ = kept(placed.join(spans, "token", "left_semi").withColumn("prior", F.lag("token").over(Window.partitionBy("node").orderBy("at"))).join(signs, "node"))
+    dropped(last)
+    left = open_.select(F.col("token").alias("token_a"), F.col("prior").alias("prior_a"), F.col("node").alias("a"), "size", "at", "sign", F.col("component").alias("component_a"))
+    right = open_.select("token", "prior", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("sign").alias("sign_b"), F.col("component").alias("component_b"))
     early = (F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
-    across = left.join(right, (F.col("token_a") == F.col("token")) & (F.col("component_a") > F.col("component_b")) & allowed & early & F.coalesce(F.col("prior_a") != F.col("prior"), F.lit(True)))
+    across = left.join(right, (F.col("token_a") == F.col("token")) & (F.col("component_a") > F.col("component_b")) & allowed & early & F.coalesce(F.col("prior_a") != F.col("prior"), F.lit(True)) & near)
     across = across.select("a", "b", "size", "size_b").distinct()
     prefixes = kept(open_.groupBy("node").agg(F.collect_list("token").alias("tokens")))  # a node's are as many as its prefix at most
     across = across.join(prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
     across = kept(across.filter(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b"))
     if not across.isEmpty():
-        more = across.select(F.col("a").alias("node")).union(across.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-        sets = sets.unionByName(kept(_sets_of(docs, kept(with_rep(more)), counts)))
-        found = kept(_linked(across, sets, percent))
+        found = verified(across)
         if not found.isEmpty():
             labels = _merged(labels, found)
     placed = kept(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))

@@ -648,6 +648,32 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert sum(made) < 12 * len(texts)
 
 
+def test_copies_that_miss_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Of a group in which hardly two texts link, few pairs are made, whatever the group's size."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(80):
+        words = [f"w{i}" for i in range(200)]
+        for i in rng.sample(range(200), 4):
+            words[i] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    made, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *rest: (made.append(pairs.count()), linked(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == brute.components({i: brute.shingles(t) for i, t in enumerate(texts)})
+    assert sum(made) < 5 * len(texts)
+
+
+def test_signs_are_no_farther_apart_than_sets(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 2500, rng.integers(1, 2000)).astype(np.uint64)) for _ in range(2))
+        rows.append((ngram_join.sign(a).tolist(), ngram_join.sign(b).tolist(), len(np.setxor1d(a, b))))
+    made = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, n bigint").withColumn("apart", ngram_join._apart("a", "b"))
+    assert made.filter("apart <= n and apart % 2 = n % 2").count() == 50
+
+
 def test_words_in_common_do_not_depend_on_the_size():
     """Beyond what was compared whole before, words between repeated ones counted as missing and added."""
     own = [w for i in range(400) for w in ("a", "b", f"own{i}")]
