@@ -28,20 +28,30 @@ def parse_key(text: Column) -> Column:
 
     The error is null, or the first of: missing_slash, missing_comma, bad_shard, bad_x, bad_y, off_grid. Shard numbers go up to 2^63 - 1.
     """
+    # Each part is bound once: written out, the error's conditions would be evaluated anew for every field.
+    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    shard = strip(F.substring_index(text, "/", 1))
-    cell = F.regexp_extract(text, r"(?s)^[^/]*/(.*)$", 1)
-    left, right = strip(F.substring_index(cell, ",", 1)), strip(F.regexp_extract(cell, r"(?s)^[^,]*,(.*)$", 1))
-    number = lambda part, kind: F.when(part.rlike(r"^\+?[0-9]+\z"), F.regexp_replace(part, r"^\+", "").try_cast(kind))
-    byte = lambda part: F.when(number(part, "bigint") <= 255, number(part, "int"))
-    shard_id, x, y = number(shard, "bigint"), byte(left), byte(right)
-    error = (
-        F.when(text.isNull() | ~text.contains("/"), "missing_slash")
-        .when(~cell.contains(","), "missing_comma")
-        .when(shard_id.isNull(), "bad_shard")
-        .when(x.isNull(), "bad_x")
-        .when(y.isNull(), "bad_y")
-        .when(~on_grid(x, y), "off_grid")
-    )
-    keep = lambda c: F.when(error.isNull(), c)
-    return F.struct(keep(shard_id).alias("shard_id"), keep(x).alias("x"), keep(y).alias("y"), error.alias("error"))
+    after = lambda c, mark: F.substr(c, F.instr(c, mark) + 1)
+    number = lambda part: F.when(part.rlike(r"^\+?[0-9]+\z"), F.regexp_replace(part, r"^\+", "").try_cast("bigint"))
+    byte = lambda n: F.when(n <= 255, n.cast("int"))
+    cell = after(text, "/")
+    parts = F.array(*[strip(c) for c in (F.substring_index(text, "/", 1), F.substring_index(cell, ",", 1), after(cell, ","))])
+
+    def fields(n: Column) -> Column:
+        shard_id, x, y = n[0], byte(n[1]), byte(n[2])
+        error = (
+            F.when(text.isNull() | ~text.contains("/"), "missing_slash")
+            .when(~cell.contains(","), "missing_comma")
+            .when(shard_id.isNull(), "bad_shard")
+            .when(x.isNull(), "bad_x")
+            .when(y.isNull(), "bad_y")
+            .when(~on_grid(x, y), "off_grid")
+        )
+
+        def kept(e: Column) -> Column:
+            keep = lambda c: F.when(e.isNull(), c)
+            return F.struct(keep(shard_id).alias("shard_id"), keep(x).alias("x"), keep(y).alias("y"), e.alias("error"))
+
+        return bound(error, kept)
+
+    return bound(F.transform(parts, number), fields)

@@ -42,3 +42,12 @@ def uneven(spark):
 @pytest.mark.parametrize("name", ["replica_operations", "set_if_revision"])
 def test_folds_of_unions_whose_sides_are_merged_differently(spark, sf_dir, con, uneven, name):
     assert spark_rows(catalog.QUERIES[name](spark, sf_dir)) == sql_rows(con, catalog.ORACLES[name])
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_are_parsed_once_and_by_all_tasks(spark, sf_dir):
+    plan = optimized(catalog.QUERIES["routing_key_parse"](spark, sf_dir))
+    assert plan.count("regexp_replace") <= 8 and "RepartitionByExpression" in plan
