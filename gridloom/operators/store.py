@@ -155,7 +155,7 @@ def transactions(operations: DataFrame) -> DataFrame:
         """What an operation writes (null: deletes), or null if it fails."""
         kind, address, to, expect, new = o
         node = held.get(address)
-        fresh = json.loads(new) if isinstance(new, str) else {}
+        fresh = json.loads(new) if isinstance(new, str) and new != "{}" else {}
         if kind == "create":
             return {address: fresh} if node is None else None
         if kind == "insert_node":

@@ -191,12 +191,14 @@ def transaction_fold(spark, sf_dir):
     the next creates the order again, which works only if nothing is left of the first; the last clears the parts."""
     line = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("Part:"), "l_partkey").alias("part"), (F.col("l_returnflag") == "R").alias("returned"))
     order = F.concat(F.lit("Order:"), "k")
-    op = lambda rows, tx, position, kind, address, to=None: rows.select(F.col("k").cast("string").alias("scope"), (F.col("k") * 4 + tx).alias("tx_id"), position.cast("int").alias("position"), F.lit(kind).alias("type"), address.alias("address"), (F.lit(None).cast("string") if to is None else to).alias("to"), F.lit(None).cast("string").alias("expect_eq"), F.lit("{}").alias("set"))
-    keys, parts = line.select("k").distinct(), line.select("k", "part").distinct()
-    zero = F.lit(0)
+    op = lambda tx, position, kind, address, to=None: F.struct((F.col("k") * 4 + tx).alias("tx_id"), F.lit(position).alias("position"), F.lit(kind).alias("type"), address.alias("address"), (F.lit(None).cast("string") if to is None else to).alias("to"))
+    rows = lambda of, made: of.select(F.col("k").cast("string").alias("scope"), F.explode(made).alias("o")).select("scope", "o.*", F.lit(None).cast("string").alias("expect_eq"), F.lit("{}").alias("set"))
+    # A part of an order is one row, from which its operations are made after it is counted.
+    parts = line.groupBy("k", "part").agg(F.count_if("returned").cast("int").alias("returned"))
+    claims = F.array_repeat(op(0, 3, "claim", F.lit("Nobody:0")), F.col("returned"))
     return store.transactions(
-        op(keys, 0, zero, "create", order).union(op(parts, 0, zero + 1, "insert_node", F.col("part"))).union(op(parts, 0, zero + 2, "insert_edge", order, F.col("part")))
-        .union(op(line.filter("returned"), 0, zero + 3, "claim", F.lit("Nobody:0"))).union(op(keys, 1, zero, "create", order)).union(op(keys, 2, zero, "clear_kind", F.lit("Part")))
+        rows(parts, F.concat(F.array(op(0, 1, "insert_node", F.col("part")), op(0, 2, "insert_edge", order, F.col("part"))), claims))
+        .union(rows(line.select("k").distinct(), F.array(op(0, 0, "create", order), op(1, 0, "create", order), op(2, 0, "clear_kind", F.lit("Part")))))
     )
 
 

@@ -51,3 +51,7 @@ def optimized(df):
 def test_keys_are_parsed_once_and_by_all_tasks(spark, sf_dir):
     plan = optimized(catalog.QUERIES["routing_key_parse"](spark, sf_dir))
     assert plan.count("regexp_replace") <= 8 and "RepartitionByExpression" in plan
+
+
+def test_transactions_read_their_lines_twice_at_most(spark, sf_dir):
+    assert optimized(catalog.QUERIES["transaction_fold"](spark, sf_dir)).count("Relation [") <= 2
