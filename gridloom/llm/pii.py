@@ -116,10 +116,13 @@ def _others() -> list[str]:
     return [c for c in [*found.values(), *single] if len(c) > 1]
 
 
-def _table(classes: list[str]) -> tuple[str, list[int], list[int]]:
-    """The letters of all classes in a row, and for each where its class begins (from 1) and its size."""
+def _table(classes: list[str]) -> tuple[str, str, list[int], list[int]]:
+    """The letters of all classes in a row, for each a sign of its class (from "!" on), and where each class begins (from 1) and its size.
+
+    An array of a number for each letter would be a large literal, of which every plan's text has a copy; the driver keeps and sends these texts.
+    """
     begins = [1 + sum(map(len, classes[:k])) for k in range(len(classes))]
-    return "".join(classes), [b for b, c in zip(begins, classes) for _ in c], [len(c) for c in classes for _ in c]
+    return "".join(classes), "".join(chr(33 + k) * len(c) for k, c in enumerate(classes)), begins, [len(c) for c in classes]
 
 
 _LETTERS = _table(CLASSES + _others())
@@ -215,17 +218,24 @@ def permuted(value: Column, key: bytes, salt: Column, table: Column | str = "let
             out = F.when(name == t, f(_TABLES[t])).otherwise(out)
         return out
 
-    begins, sizes, every = choice(lambda t: _constant(t[1], "int")), choice(lambda t: _constant(t[2], "int")), choice(lambda t: _constant(t[0], "string"))
+    begins, sizes = choice(lambda t: _constant(t[2], "int")), choice(lambda t: _constant(t[3], "int"))
+    given = F.struct(F.split(value, "").alias("chars"), choice(lambda t: F.lit(t[0])).alias("letters"), choice(lambda t: F.lit(t[1])).alias("kinds"))
+
+    def of_places(c, at):
+        kinds = F.transform(at, lambda i: F.when(i > 0, F.ascii(F.substring(c["kinds"], i, F.lit(1))) - 32).otherwise(0))
+        return _with(kinds, lambda kinds: of_kinds(c, at, kinds))
+
+    def of_kinds(c, at, kinds):
+        own = F.transform(kinds, lambda k: F.when(k > 0, F.element_at(sizes, k)).otherwise(1))
+        base = F.transform(kinds, lambda k: F.when(k > 0, F.element_at(begins, k)).otherwise(0))
+        return _with(F.struct(own.alias("own"), base.alias("base")), lambda s: of_classes(c, at, s))
 
-    def of_chars(c):
-        own = F.transform(c["at"], lambda i: F.when(i > 0, F.element_at(sizes, i)).otherwise(1))
-        x = F.transform(c["at"], lambda i: F.when(i > 0, i - F.element_at(begins, i)).otherwise(0))
-        new = permuted_numbers(x, own, key, salt)
-        place = F.zip_with(c["at"], new, lambda i, v: F.when(i > 0, F.element_at(begins, i) + v).otherwise(0))
-        return F.array_join(F.zip_with(c["chars"], place, lambda ch, p: F.when(p > 0, F.element_at(every, p)).otherwise(ch)), "")
+    def of_classes(c, at, s):
+        x = F.zip_with(at, s["base"], lambda i, b: i - b)
+        place = F.zip_with(s["base"], permuted_numbers(x, s["own"], key, salt), lambda b, v: F.when(b > 0, b + v).otherwise(0))
+        return F.array_join(F.zip_with(c["chars"], place, lambda ch, p: F.when(p > 0, F.substring(c["letters"], p, F.lit(1))).otherwise(ch)), "")
 
-    chars = F.split(value, "")
-    return _with(F.struct(chars.alias("chars"), _places(chars, choice(lambda t: F.lit(t[0]))).alias("at")), of_chars)
+    return _with(given, lambda c: _with(_places(c["chars"], c["letters"]), lambda at: of_places(c, at)))
 
 
 def _walked(value: Column, times: int, barred, step) -> Column:
@@ -360,13 +370,14 @@ def name_words(found: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(found, is_name), of_name)))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=1)
 def _made(key: bytes, application: str) -> Column:
     """Of `found` and `names`: the replacement, and whether there is one, of each entity. The expression is large, so it is built once for a key."""
     named = F.size("names") > 0
     again = lambda e: F.array_contains(F.col("names"), F.regexp_replace(e, r"['’]s?$", ""))
     bare = lambda e: named & e.rlike(_BARE) & ~e.startswith("AKIA")
-    new = lambda e: F.when(bare(e), F.when(again(e), name_word(e, key))).otherwise(surrogate(e, key))
+    # A bare word is a name of one word to surrogate().
+    new = lambda e: F.when(~bare(e) | again(e), surrogate(e, key))
     return F.transform("found", new)
 
 

@@ -285,6 +285,12 @@ def test_keyed_hash_is_hmac(spark):
         assert spark.range(1).select(pii.hmac_hex(key, F.lit("a text")).alias("h")).first()["h"] == hmac.new(key, b"a text", "sha256").hexdigest()
 
 
+def test_plan_of_replacement_is_small(spark):
+    # The driver keeps the text of a query's plans; large literals in it have filled its memory.
+    plan = pii.replace(empty(spark), KEY)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 150_000
+
+
 def test_another_key_where_surrogates_collide(spark, monkeypatch):
     docs = spark.createDataFrame([("Mr. Fox met Mr. Cat",)], "text string")
     monkeypatch.setattr(pii, "surrogate", lambda e, key: F.lit("Mr. One") if key == KEY.encode() else F.concat(e, F.lit("x")))
