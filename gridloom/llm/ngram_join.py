@@ -47,7 +47,7 @@ LEAST_BITS, MOST_BITS, PER_BIN = 19, 24, 256
 FILTER_BITS = 1 << 30
 FLUSH = 1 << 19
 BLOCK = 64
-#: Hubs that a node is compared with in a round of stars, and rounds at most; they also end when one finds a fiftieth of what the first did.
+#: Hubs that a node is compared with in a round of stars, and rounds at most; they also end when one finds a tenth of what the first did.
 STARS, ROUNDS = 2, 12
 #: 64-bit numbers of a set's sign.
 SIGN = 16
@@ -288,11 +288,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) once `links` (a, b) of their nodes join them."""
+    """Components (node, component, size) once `links` (a, b) of their nodes join them."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("further"))
-    return kept(labels.join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
+    return kept(labels.join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component"), "size"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -303,8 +303,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     survey, counts = _survey(docs)
     counts = spark.sparkContext.broadcast(counts)
     # A node is a set; any document that has it stands for it where its text is needed.
-    classes = kept(survey.filter("sid is not null and doc_id is not null").groupBy(F.col("sid").alias("node")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("sign").alias("sign")))
-    shared = kept(_shared(docs, counts, percent).withColumnRenamed("sid", "node").join(classes, "node").select("token", "node", "size", "at"))
+    classes = kept(survey.filter("sid is not null and doc_id is not null").groupBy(F.col("sid").alias("node")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("sign").alias("own_sign")))
+    shared = kept(_shared(docs, counts, percent).withColumnRenamed("sid", "node"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b) that link; only the sets of these nodes are read and moved, and none is kept."""
@@ -321,24 +321,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     least = needed - F.greatest(_rest("size", percent), _rest("size_b", percent))
     allowed = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
     near = _apart("sign", "sign_b") <= F.col("size") + F.col("size_b") - 2 * needed
-    signs = classes.select("node", "sign")
+    # Both sides of a join give all columns new names and filter alike, so that they share one exchange.
+    signs = classes.filter("node is not null and own_sign is not null")
+    signs_a, signs_b = signs.select(F.col("node").alias("a"), F.col("own_sign").alias("sign")), signs.select(F.col("node").alias("b"), F.col("own_sign").alias("sign_b"))
 
     # Rounds of stars: each node with those hubs of its shingles, of other components, with which it shares most of
     # them. A hub is the first of a shingle's nodes in an order of the round. Shingles of one component alone go.
-    labels = kept(classes.select("node", F.col("node").alias("component")))
+    # Aggregates read `at`, too, so that their rows are dealt by node once for them and for the join with what they give.
+    labels = kept(classes.select("node", F.col("node").alias("component"), "size"))
     open_, last, most = shared, shared, None
     for turn in range(ROUNDS):
         placed = open_.join(labels, "node")
-        order = F.xxhash64("node", F.lit(turn))
-        hubs = placed.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b")), order).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-        placed = kept(placed.join(hubs.filter("low <> high").select("token", "hub.*"), "token"))
+        turned = lambda c: F.col(c).bitwiseXOR(F.xxhash64(F.lit(turn)))
+        order = turned("node")
+        hubs = placed.groupBy("token").agg(F.min(order).alias("hub"), F.min_by("size", order).alias("size_b"), F.min_by("component", order).alias("component_b"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("at").alias("last"))
+        hubs = hubs.filter("low <> high and last >= 0").select("token", turned("hub").alias("b"), "size_b", "component_b")
+        placed = kept(placed.join(hubs, "token"))
         dropped(last)
-        open_, last = placed.select("token", "node", "size", "at"), placed
+        open_, last = placed.select("token", "node", "at"), placed
         stars = (
             placed.filter("component <> component_b").filter(allowed)
             .groupBy(F.col("node").alias("a"), "b", "size", "size_b").agg(F.count("*").alias("n"))
             .filter(4 * F.col("n") >= least)
-            .join(signs.withColumnRenamed("node", "a"), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b").filter(near)
+            .join(signs_a, "a").join(signs_b, "b").filter(near)
             .groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("b").alias("order"), "b")), asc=False), 1, STARS).alias("best"))
             .select("a", F.explode("best.b").alias("b"))
         )
@@ -351,7 +356,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         dropped(stars)
         dropped(found)
         most = most or n
-        if 50 * n <= most:
+        if 10 * n <= most:
             break
 
     # Shingles that still span several components: every pair across them that may link. The first
@@ -359,15 +364,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # `least` of the shared ones are in both prefixes. A pair whose shingles before this one are equal is made there,
     # and one whose signs are too far apart nowhere.
     placed = open_.join(labels, "node")
-    spans = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_ = kept(placed.join(spans, "token", "left_semi").withColumn("prior", F.lag("token").over(Window.partitionBy("node").orderBy("at"))).join(signs, "node"))
+    spans = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("at").alias("last")).filter("low <> high and last >= 0").select("token")
+    placed = placed.join(spans, "token", "left_semi").withColumn("prior", F.lag("token").over(Window.partitionBy("node").orderBy("at"))).join(signs.select("node", "own_sign"), "node")
+    columns = ["token", "prior", "node", "size", "at", "own_sign", "component"]
+    open_ = kept(placed.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(columns)]))
     dropped(last)
-    left = open_.select(F.col("token").alias("token_a"), F.col("prior").alias("prior_a"), F.col("node").alias("a"), "size", "at", "sign", F.col("component").alias("component_a"))
-    right = open_.select("token", "prior", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("sign").alias("sign_b"), F.col("component").alias("component_b"))
+    # All but `prior` are never null.
+    rows = open_.filter(" and ".join(f"own_{i} is not null" for i, c in enumerate(columns) if c != "prior"))
+    left, right = (rows.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)]) for names in (["token_a", "prior_a", "a", "size", "at", "sign", "component_a"], ["token", "prior", "b", "size_b", "at_b", "sign_b", "component_b"]))
     early = (F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
     across = left.join(right, (F.col("token_a") == F.col("token")) & (F.col("component_a") > F.col("component_b")) & allowed & early & F.coalesce(F.col("prior_a") != F.col("prior"), F.lit(True)) & near)
     across = across.select("a", "b", "size", "size_b").distinct()
-    prefixes = kept(open_.groupBy("node").agg(F.collect_list("token").alias("tokens")))  # a node's are as many as its prefix at most
+    prefixes = kept(open_.groupBy(F.col("own_2").alias("node")).agg(F.collect_list("own_0").alias("tokens")))  # a node's are as many as its prefix at most
     across = across.join(prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
     across = kept(across.filter(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b"))
     if not across.isEmpty():

@@ -629,6 +629,26 @@ def test_decontamination_query(spark, sf_dir):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
 
 
+def test_sides_of_joins_share_their_exchange(spark, monkeypatch):
+    plans, kept = [], ngram_join.kept
+    monkeypatch.setattr(ngram_join, "kept", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rng = random.Random(7)
+        body = prose(rng, 60, [f"w{i}" for i in range(200)])
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, [body, body + " end", "other words that stand here"])).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {0: 0, 1: 0, 2: 2}
+    for mark, least in (("min_by", 2), ("collect_list", 1), ("prior_a", 2)):  # hubs of a round, stars, pairs across components
+        found = [p.count("ReusedExchange") for p in plans if mark in p and (mark != "collect_list" or "explode" in p)]
+        assert found and min(found) >= least, mark
+
+
 def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     """Near copies of one text, any two of which about link: components as by brute force, from far fewer pairs than the group has."""
     rng = random.Random(5)
