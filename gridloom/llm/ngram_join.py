@@ -10,8 +10,11 @@ Nodes that share rare shingles are compared in rounds of stars: every node with
 its shingles that are in other components, for as long as that joins components. That makes
 few rows for a large group of near copies. Then, of shingles that still span several
 components, every pair of nodes of different components that share one early enough in both
-sets, and enough of them, for a link. A pair within one component can't change the result, so
-it is never made; a pair across components that may link always is, so no link is lost.
+sets, and enough of them, for a link. Where a shingle has many nodes these pairs are made in
+turns, first with few of its nodes, then with more, and components are joined after each: a
+node that a large component has not reached yet is joined to it by some of the first pairs and
+then makes none with the rest. A pair within one component can't change the result, so it
+isn't made; a pair that is still across components always is, so no link is lost.
 
 Before two sets are compared, their signs are: of 1024 parts of the range of hashes, whether
 a set has an odd number of shingles in each. Where signs differ a shingle is in one set only,
@@ -49,6 +52,8 @@ FLUSH = 1 << 19
 BLOCK = 64
 #: Hubs that a node is compared with in a round of stars, and rounds at most; they also end when one finds a tenth of what the first did.
 STARS, ROUNDS = 2, 12
+#: Beyond so many nodes a shingle's pairs are made by levels; one in so many nodes of a level is of the next, too.
+FEW, SHARE = 32, 8
 #: 64-bit numbers of a set's sign.
 SIGN = 16
 
@@ -287,6 +292,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").select("a", "b", "own", "other").mapInArrow(run, "a bigint, b bigint")
 
 
+def _levels(most: int) -> int:
+    """Levels above 0, for a shingle of `most` nodes to have about FEW at the highest."""
+    top = 0
+    while FEW * SHARE**top < most:
+        top += 1
+    return top
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component, size) once `links` (a, b) of their nodes join them."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
@@ -363,25 +376,50 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # shingle that such a pair shares has at least `needed` - 1 after it in either set, and at least
     # `least` of the shared ones are in both prefixes. A pair whose shingles before this one are equal is made there,
     # and one whose signs are too far apart nowhere.
-    placed = open_.join(labels, "node")
-    spans = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("at").alias("last")).filter("low <> high and last >= 0").select("token")
-    placed = placed.join(spans, "token", "left_semi").withColumn("prior", F.lag("token").over(Window.partitionBy("node").orderBy("at"))).join(signs.select("node", "own_sign"), "node")
-    columns = ["token", "prior", "node", "size", "at", "own_sign", "component"]
-    open_ = kept(placed.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(columns)]))
+    columns = ["token", "prior", "node", "size", "at", "own_sign", "component", "n"]
+
+    def opened(rows: DataFrame) -> DataFrame:
+        """Those of `rows` (token, node, at) whose shingles span several components, with what pairs are made of; all nodes of a shingle stay or go, so `n` of them."""
+        placed = rows.join(labels, "node")
+        spans = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("at").alias("last"), F.count("*").alias("n")).filter("low <> high and last >= 0").select("token", "n")
+        placed = placed.join(spans, "token").withColumn("prior", F.lag("token").over(Window.partitionBy("node").orderBy("at"))).join(signs.select("node", "own_sign"), "node")
+        return kept(placed.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(columns)]))
+
+    open_ = opened(open_)
     dropped(last)
-    # All but `prior` are never null.
-    rows = open_.filter(" and ".join(f"own_{i} is not null" for i, c in enumerate(columns) if c != "prior"))
-    left, right = (rows.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)]) for names in (["token_a", "prior_a", "a", "size", "at", "sign", "component_a"], ["token", "prior", "b", "size_b", "at_b", "sign_b", "component_b"]))
-    early = (F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
-    across = left.join(right, (F.col("token_a") == F.col("token")) & (F.col("component_a") > F.col("component_b")) & allowed & early & F.coalesce(F.col("prior_a") != F.col("prior"), F.lit(True)) & near)
-    across = across.select("a", "b", "size", "size_b").distinct()
     prefixes = kept(open_.groupBy(F.col("own_2").alias("node")).agg(F.collect_list("own_0").alias("tokens")))  # a node's are as many as its prefix at most
-    across = across.join(prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
-    across = kept(across.filter(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b"))
-    if not across.isEmpty():
+    early = (F.col("at") <= F.col("size") - needed) & (F.col("at_b") <= F.col("size_b") - needed)
+    names_a, names_b = ["token_a", "prior_a", "a", "size", "at", "sign", "component_a"], ["token", "prior", "b", "size_b", "at_b", "sign_b", "component_b"]
+    # Where a shingle has many nodes, each that its component hasn't reached yet would make a pair with every node of a
+    # large component. There a pair is made at the higher of its nodes' levels, highest first: few nodes are that high, and
+    # what they join makes no further pairs with one another. Level 0 has the pairs of all others, so none is left out.
+    top = _levels(open_.agg(F.max("own_7")).first()[0] or 0)
+    for turn in range(top, -1, -1):
+        # All but `prior` are never null.
+        rows = open_.filter(" and ".join(f"own_{i} is not null" for i, c in enumerate(columns) if c != "prior"))
+        level = F.when(F.col("own_7") > FEW, sum(((F.xxhash64("own_2").bitwiseAND(F.lit(SHARE**k - 1)) == 0).cast("int") for k in range(1, top + 1)), F.lit(0)))
+        if turn:
+            side_a, side_b = rows.withColumn("level", level).filter(F.col("level") <= turn), rows.filter(level == turn)
+            other = (F.col("component_a") != F.col("component_b")) & ((F.col("level") < turn) | (F.col("component_a") > F.col("component_b")))
+        else:
+            side_a = side_b = rows.filter(F.coalesce(level, F.lit(0)) == 0) if top else rows
+            other = F.col("component_a") > F.col("component_b")
+        left, right = (side.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)], *[c for c in ("level",) if c in side.columns]) for side, names in ((side_a, names_a), (side_b, names_b)))
+        across = left.join(right, (F.col("token_a") == F.col("token")) & other & allowed & early & F.coalesce(F.col("prior_a") != F.col("prior"), F.lit(True)) & near)
+        across = across.select("a", "b", "size", "size_b").distinct()
+        across = across.join(prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
+        across = kept(across.filter(F.size(F.array_intersect("of_a", "of_b")) >= least).select("a", "b"))
+        if across.isEmpty():
+            continue
         found = verified(across)
         if not found.isEmpty():
-            labels = _merged(labels, found)
+            before, labels = labels, _merged(labels, found)
+            dropped(before)
+            if turn:
+                before, open_ = open_, opened(open_.select(F.col("own_0").alias("token"), F.col("own_2").alias("node"), F.col("own_4").alias("at")))
+                dropped(before)
+        dropped(across)
+        dropped(found)
     placed = kept(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
     least = placed.groupBy("component").agg(F.min("rep").alias("of_class"))
     of_class = placed.join(least, "component").select(F.col("node").alias("sid"), "of_class")

@@ -690,6 +690,27 @@ def test_copies_that_miss_the_threshold_make_few_pairs(spark, monkeypatch):
     assert sum(made) < 5 * len(texts)
 
 
+def test_strays_of_a_group_make_few_pairs(spark, monkeypatch):
+    """Near copies at the threshold beside many pairs of copies, which end the rounds of stars early: components as by brute force, and pairs grow with the group, not with its square."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    pairs = [prose(rng, 40, words) for _ in range(500)]
+    base = [f"b{i}" for i in range(200)]
+    group = []
+    for _ in range(400):
+        own = list(base)
+        for i in rng.sample(range(200), 3):
+            own[i] = f"x{rng.random()}"
+        group.append(" ".join(own))
+    texts = group + pairs + [t + " end" for t in pairs]
+    made, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *rest: (made.append(pairs.count()), linked(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    n, m = len(group), len(pairs)
+    assert got == brute.components({i: brute.shingles(t) for i, t in enumerate(group)}) | {n + i: n + i % m for i in range(2 * m)}
+    assert sum(made) - m < 12 * n
+
+
 def test_signs_are_no_farther_apart_than_sets(spark):
     rng = np.random.default_rng(7)
     rows = []
