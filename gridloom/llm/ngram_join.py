@@ -50,7 +50,7 @@ LEAST_BITS, MOST_BITS, PER_BIN = 19, 24, 256
 FILTER_BITS = 1 << 30
 FLUSH = 1 << 19
 BLOCK = 64
-#: Hubs that a node is compared with in a round of stars, and rounds at most; they also end when one finds a tenth of what the first did.
+#: Hubs that a node is compared with in a round of stars, and rounds at most; they also end when one finds a fifth of what the first did.
 STARS, ROUNDS = 2, 12
 #: Beyond so many nodes a shingle's pairs are made by levels; one in so many nodes of a level is of the next, too.
 FEW, SHARE = 32, 8
@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         dropped(stars)
         dropped(found)
         most = most or n
-        if 10 * n <= most:
+        if 5 * n <= most:
             break
 
     # Shingles that still span several components: every pair across them that may link. The first
@@ -393,16 +393,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Where a shingle has many nodes, each that its component hasn't reached yet would make a pair with every node of a
     # large component. There a pair is made at the higher of its nodes' levels, highest first: few nodes are that high, and
     # what they join makes no further pairs with one another. Level 0 has the pairs of all others, so none is left out.
+    # Only rows of these shingles are labelled anew; those of few nodes make few pairs with the components as they were.
     top = _levels(open_.agg(F.max("own_7")).first()[0] or 0)
+    level = sum(((F.xxhash64("own_2").bitwiseAND(F.lit(SHARE**k - 1)) == 0).cast("int") for k in range(1, top + 1)), F.lit(0))
+    few, first = open_.filter(F.col("own_7") <= FEW), open_.filter(F.col("own_7") > FEW) if top else open_
+    many = first
     for turn in range(top, -1, -1):
         # All but `prior` are never null.
-        rows = open_.filter(" and ".join(f"own_{i} is not null" for i, c in enumerate(columns) if c != "prior"))
-        level = F.when(F.col("own_7") > FEW, sum(((F.xxhash64("own_2").bitwiseAND(F.lit(SHARE**k - 1)) == 0).cast("int") for k in range(1, top + 1)), F.lit(0)))
+        rows = many if turn or not top else few.union(many.filter(level == 0))
+        rows = rows.filter(" and ".join(f"own_{i} is not null" for i, c in enumerate(columns) if c != "prior"))
         if turn:
             side_a, side_b = rows.withColumn("level", level).filter(F.col("level") <= turn), rows.filter(level == turn)
             other = (F.col("component_a") != F.col("component_b")) & ((F.col("level") < turn) | (F.col("component_a") > F.col("component_b")))
         else:
-            side_a = side_b = rows.filter(F.coalesce(level, F.lit(0)) == 0) if top else rows
+            side_a = side_b = rows
             other = F.col("component_a") > F.col("component_b")
         left, right = (side.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)], *[c for c in ("level",) if c in side.columns]) for side, names in ((side_a, names_a), (side_b, names_b)))
         across = left.join(right, (F.col("token_a") == F.col("token")) & other & allowed & early & F.coalesce(F.col("prior_a") != F.col("prior"), F.lit(True)) & near)
@@ -416,8 +420,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             before, labels = labels, _merged(labels, found)
             dropped(before)
             if turn:
-                before, open_ = open_, opened(open_.select(F.col("own_0").alias("token"), F.col("own_2").alias("node"), F.col("own_4").alias("at")))
-                dropped(before)
+                before, many = many, opened(many.select(F.col("own_0").alias("token"), F.col("own_2").alias("node"), F.col("own_4").alias("at")))
+                if before is not first:  # which the rows of few nodes are read from, too
+                    dropped(before)
         dropped(across)
         dropped(found)
     placed = kept(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
